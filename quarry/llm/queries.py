@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, quality
+from quarry.llm import chat, mixing, ngram_join, quality, token_files
 from quarry.llm.common import table
+from quarry.session import ship
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +23,36 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+#: A conversation whose texts are control strings.
+HARD_CHAT = [(-1, turn, role, f"{chat.END}{chat.START}{chat.LOSS_ROLE} ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that is hard to format, read back from their formatted texts."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame(HARD_CHAT, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(rows.unionByName(hard)))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and near-duplicate component."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, number and checksum of token ids, read back from ORC files."""
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op4_mixing)
-    return {f.__name__: f for f in found}
+    found = (op2_quality_rules, op4_mixing, op5_chat_format, op6_ngram_join, op10_token_files)
+    return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in found}
 
 
 QUALITY_SQL = r"""
@@ -74,5 +102,46 @@ FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+CHAT_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES
+    (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+marked AS (
+  SELECT *, regexp_matches(text, '<\\+\||<\|im_(start|end)\|>') AS hard,
+         length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS longer FROM said)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(role) + 1 + CASE WHEN hard THEN longer ELSE length(text) END
+                + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+items AS (SELECT doc_id, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * c >= 75 * (len(a.s) + len(b.s) - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL}
+    return {"op6_ngram_join": JACCARD_SQL, "op5_chat_format": CHAT_SQL, "op2_quality_rules": QUALITY_SQL}
