@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, mixing, ngram_join, quality, token_files
+from quarry.llm import chat, mixing, ngram_join, quality, secrets, token_files
 from quarry.llm.common import table
 from quarry.session import ship
 
@@ -39,6 +39,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's findings."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -51,7 +57,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op4_mixing, op5_chat_format, op6_ngram_join, op10_token_files)
+    found = (op2_quality_rules, op4_mixing, op5_chat_format, op6_ngram_join, op7_secret_scan, op10_token_files)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in found}
 
 
