@@ -8,8 +8,10 @@
    least a = ceil(0.75 n), so the first n - a + m of both hold m common ones. m grows with the estimated
    candidates of the prefix; pairs with fewer than the smaller m in common are never verified.
 4. Candidates are joined on prefix shingles in rounds. The first rounds pair near neighbours in each list
-   only; pairs inside a component found so far are skipped; the last round takes all that is left. Pairs are
-   verified with whole sets.
+   only; pairs inside a component found so far are skipped; the last round takes all that is left.
+5. Each set has a parity bitmap of about as many bits as shingles. The bits in which two of them differ are
+   no more than the shingles in which the sets differ, so pairs with too many are dropped without a loss.
+   The sets of the rest are made again from the texts and compared whole.
 
 Rows: fewer words than a shingle form one shingle; texts without words and null texts have an empty set and
 link with nothing, as do rows without doc_id (their component is null). Repeated rows are copies. An empty table
@@ -32,7 +34,7 @@ from quarry.llm.common import cut
 from quarry.llm.components import components
 
 #: Bits of a shingle hash that are counted, and of the bitmaps: twice at least; frequent.
-KEY_BITS, TWICE_BITS, OFTEN_BITS = 40, 27, 24
+KEY_BITS, TWICE_BITS, OFTEN_BITS = 40, 26, 23
 #: Frequencies from which a shingle is frequent and very frequent.
 OFTEN = (16, 256)
 
@@ -80,26 +82,53 @@ def _binaries(arrays: Iterable[np.ndarray]) -> pa.Array:
 Batches = Iterable[pa.RecordBatch]
 
 
+SIGNED = "doc_id long, n long, cls long, bits binary, part int, keys binary, twice binary, often binary, very binary"
+_NAMES = [x.split()[0] for x in SIGNED.split(", ")]
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of SIGNED; columns that aren't given are null."""
+    kinds = dict(x.split() for x in SIGNED.split(", "))
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(count, _KINDS[kinds[c]])) for c in _NAMES], names=_NAMES)
+
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """The parity of the shingles at each place; 64 places at least, about as many as shingles."""
+    width = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two parity bitmaps differ; the longer one is folded first."""
+    x, y = (np.frombuffer(v, dtype=np.uint8) for v in (a, b))
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sign(words: int, parts: int, most: int = 1 << 21) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """doc_id, n, class of each row (part null), and packed shingle keys for each part."""
+    """A row for each document, and rows of packed shingle keys for each part; all are dealt by part."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         keys = np.sort(np.concatenate(held) >> U64(64 - KEY_BITS))
         at = np.searchsorted(keys, np.arange(parts + 1, dtype=U64) * U64((1 << KEY_BITS) // parts))
         full = np.flatnonzero(np.diff(at))
-        none = pa.nulls(len(full), pa.int64())
         blobs = [(keys[at[p]:at[p + 1]] >> U64(8)).astype("<u4").tobytes() + keys[at[p]:at[p + 1]].astype(np.uint8).tobytes() for p in full]
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "cls", "part", "keys"])
+        return _rows(len(full), part=pa.array(full, pa.int32()), keys=pa.array(blobs, pa.binary()))
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, at = [], 0, 0
         for batch in batches:
             for ids, sets in _sets(batch, words):
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    names=["doc_id", "n", "cls", "part", "keys"],
+                yield _rows(
+                    n, doc_id=ids, n=pa.array([len(s) for s in sets], pa.int64()), cls=pa.array([set_class(s) for s in sets], pa.int64()),
+                    bits=pa.array([parity_bits(s) for s in sets], pa.binary()), part=pa.array((np.arange(at, at + n) % parts).astype(np.int32)),
                 )
+                at += n
                 held += sets
                 size += sum(map(len, sets))
                 if size >= most:
@@ -112,25 +141,28 @@ def _sign(words: int, parts: int, most: int = 1 << 21) -> Callable[[Batches], It
 
 
 def _count(parts: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """Bitmaps of each part's range of keys. A part's keys are in one partition."""
+    """Documents' rows as they are; bitmaps of each part's range of keys. A part's keys are in one partition."""
 
-    def bits(keys: np.ndarray, part: int, width: int) -> bytes:
+    def bits(keys: np.ndarray, part: int, width: int) -> pa.Array:
         out = np.zeros((1 << width) // parts, dtype=np.uint8)
         out[(keys >> U64(KEY_BITS - width)).astype(np.int64) - part * len(out)] = 1
-        return np.packbits(out, bitorder="little").tobytes()
+        return pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keyed = batch.column(5).is_valid()
+            yield batch.filter(pc.invert(keyed))
+            rows = batch.filter(keyed)
+            for part, blob in zip(rows.column(4).to_pylist(), rows.column(5).to_pylist()):
                 n = len(blob) // 5
                 keys = np.frombuffer(blob, "<u4", n).astype(U64) << U64(8) | np.frombuffer(blob, np.uint8, n, 4 * n)
                 held.setdefault(part, []).append(keys)
         for part, arrays in held.items():
             keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), *(pa.array([bits(keys[counts >= k], part, w)], pa.binary()) for k, w in ((2, TWICE_BITS), (OFTEN[0], OFTEN_BITS), (OFTEN[1], OFTEN_BITS)))],
-                names=["part", "twice", "often", "very"],
+            yield _rows(
+                1, part=pa.array([part], pa.int32()), twice=bits(keys[counts >= 2], part, TWICE_BITS),
+                often=bits(keys[counts >= OFTEN[0]], part, OFTEN_BITS), very=bits(keys[counts >= OFTEN[1]], part, OFTEN_BITS),
             )
 
     return run
@@ -142,9 +174,8 @@ def _has(bitmap: np.ndarray, width: int, hashes: np.ndarray) -> np.ndarray:
 
 
 def frequency_bitmaps(signed: DataFrame, parts: int) -> list[bytes]:
-    """The three bitmaps, together 20 MB whatever the input."""
-    keys = signed.where("part is not null").select("part", "keys").repartition(parts, "part")
-    rows = keys.mapInArrow(_count(parts), "part int, twice binary, often binary, very binary").toArrow()
+    """The three bitmaps, together 10 MB whatever the input."""
+    rows = signed.where("twice is not null").select("part", "twice", "often", "very").toArrow()
     out = []
     for name, width in (("twice", TWICE_BITS), ("often", OFTEN_BITS), ("very", OFTEN_BITS)):
         step = (1 << width) // parts // 8
@@ -194,15 +225,57 @@ def _prefixes(words: int, percent: int, bitmaps) -> Callable[[Batches], Iterator
     return run
 
 
-def _set_rows(words: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+#: Bits of the bitmap that tells which documents' sets are wanted: 1 MB.
+WANTED_BITS = 23
+
+
+def _set_rows(words: int, wanted) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """cls, set of the documents (doc_id, text, bit) whose bit is set."""
+
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(wanted.value, dtype=np.uint8)
         for batch in batches:
-            for _, sets in _sets(batch, words):
+            at = batch.column(2).to_numpy()
+            hit = batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for _, sets in _sets(hit, words):
                 yield pa.RecordBatch.from_arrays([pa.array([set_class(s) for s in sets], pa.int64()), _binaries(sets)], names=["cls", "set"])
 
     return run
 
 
+def _sets_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """cls, set of the classes in ``pairs``, made again from one text of each. The texts are not shuffled: a bitmap
+    of fixed size tells which documents are wanted at all, a join which of those are."""
+    spark = pairs.sparkSession
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS))
+    ids = named.join(classes, "cls").select(F.col("rep").alias("doc_id")).select(bit.alias("bit"))
+    cells = ids.groupBy((F.col("bit").bitwiseAND(~63) / 64).cast("int").alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << WANTED_BITS - 6, dtype="<i8")
+    bitmap[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+    wanted = spark.sparkContext.broadcast(bitmap.tobytes())
+    made = rows.select("doc_id", "text", bit.alias("bit")).mapInArrow(_set_rows(words, wanted), "cls long, set binary")
+    return made.join(named, "cls", "left_semi").dropDuplicates(["cls"])
+
+
+def _near(percent: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """Pairs whose parity bitmaps allow a link. Columns a, b, na, nb, bits of a, bits of b."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            # J >= p / 100 exactly if the sets differ in (100 - p) / (100 + p) of their sizes' sum at most
+            keep = [
+                (100 + percent) * differing_bits(x, y) <= (100 - percent) * n
+                for x, y, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), sizes)
+            ]
+            kept = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,11 +293,15 @@ def _verify(percent: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, how: Jaccard) -> DataFrame:
     """The pairs (a, b) whose sets are alike enough, as u, v."""
-    one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits_" + x))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    near = cut(near.mapInArrow(_near(how.percent), "a long, b long"))
+    sets = cut(_sets_of(near, classes, rows, how.words))
+    one = near.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-    return two.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "u long, v long")
+    return cut(two.select("a", "b", "set_a", "set_b").mapInArrow(_verify(how.percent), "u long, v long"))
 
 
 def _fits(n: str, m: str, percent: int) -> str:
@@ -262,28 +339,23 @@ def link_classes(spark: SparkSession, docs: DataFrame, how: Jaccard) -> tuple[Da
     """signed (doc_id, n, cls) of each row with an id; classes (cls, rep, n); comps (node, label) over classes."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = 1 << max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    signed = cut(rows.mapInArrow(_sign(how.words, parts), "doc_id long, n long, cls long, part int, keys binary"))
+    signed = cut(rows.mapInArrow(_sign(how.words, parts), SIGNED).repartition(parts, "part").mapInArrow(_count(parts), SIGNED))
     bitmaps = spark.sparkContext.broadcast(frequency_bitmaps(signed, parts))
-    signed = signed.where("part is null").select("doc_id", "n", "cls")
-    classes = cut(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
+    signed = signed.where("twice is null").select("doc_id", "n", "cls", "bits")
+    classes = cut(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")))
 
     prefixes = rows.mapInArrow(_prefixes(how.words, how.percent, bitmaps), "token long, cls long, n long, nth long, ell long")
     lists = prefixes.repartition("token").dropDuplicates(["token", "cls"])
     lists = lists.select("*", F.count(F.lit(1)).over(Window.partitionBy("token")).alias("c"))
     lists = cut(lists.where("c > 1").drop("c"))
-    wanted = lists.select("cls").distinct().join(classes, "cls").select("rep")
-    sets = rows.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = cut(sets.mapInArrow(_set_rows(how.words), "cls long, set binary").dropDuplicates(["cls"]))
 
+    as_edges = lambda c: c.select(F.col("node").alias("u"), F.col("label").alias("v"))
     first = cut(_neighbours(_with_components(lists.where("nth < 4"), None), 2, how.percent))
-    edges = cut(_linked(first, sets, how.percent))
-    comps = cut(components(edges))
+    comps = cut(components(_linked(first, classes, rows, how)))
     second = cut(_neighbours(_with_components(lists, comps), 2, how.percent).join(first, ["a", "b"], "left_anti"))
-    more = cut(_linked(second, sets, how.percent))
-    comps = cut(components(comps.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)))
-    tested = first.unionByName(second)
-    last = cut(_linked(_all_pairs(_with_components(lists, comps), tested, how.percent), sets, how.percent))
-    comps = components(comps.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(last))
+    comps = cut(components(as_edges(comps).unionByName(_linked(second, classes, rows, how))))
+    last = _all_pairs(_with_components(lists, comps), first.unionByName(second), how.percent)
+    comps = components(as_edges(comps).unionByName(_linked(last, classes, rows, how)))
     return signed, classes, cut(comps)
 
 
