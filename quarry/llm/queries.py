@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, mixing, ngram_join, quality, secrets, token_files
+from quarry.llm import chat, mixing, ngram_join, quality, secrets, token_files, toxicity
 from quarry.llm.common import table
 from quarry.session import ship
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict, hosts being the sources."""
     return quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -57,7 +64,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op4_mixing, op5_chat_format, op6_ngram_join, op7_secret_scan, op10_token_files)
+    found = (op1_toxicity, op2_quality_rules, op4_mixing, op5_chat_format, op6_ngram_join, op7_secret_scan, op10_token_files)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in found}
 
 
