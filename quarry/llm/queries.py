@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, mixing, ngram_join, quality, secrets, substring, token_files, toxicity
+from quarry.llm import chat, fingerprint, mixing, ngram_join, quality, secrets, substring, token_files, toxicity
 from quarry.llm.common import table
 from quarry.session import ship
 
@@ -30,6 +30,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, held against its edited text's and the next document's."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts are control strings.
 HARD_CHAT = [(-1, turn, role, f"{chat.END}{chat.START}{chat.LOSS_ROLE} ok") for turn, role in enumerate(("user", "assistant"))]
 
@@ -69,7 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_quality_rules, op4_mixing, op5_chat_format, op6_ngram_join, op7_secret_scan, op9_substring_dedup, op10_token_files)
+    found = (op1_toxicity, op2_quality_rules, op3_fingerprints, op4_mixing, op5_chat_format, op6_ngram_join, op7_secret_scan, op9_substring_dedup, op10_token_files)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in found}
 
 
