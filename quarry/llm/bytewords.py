@@ -12,7 +12,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Characters (bytes) that are worked on at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 #: The white space of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, dtype=bool)

@@ -9,7 +9,7 @@
    candidates of the prefix; pairs with fewer than the smaller m in common are never verified.
 4. Candidates are joined on prefix shingles in rounds. The first rounds pair near neighbours in each list
    only; pairs inside a component found so far are skipped; the last round takes all that is left.
-5. Each set has a parity bitmap of about as many bits as shingles. The bits in which two of them differ are
+5. Each set has parity bitmaps, one of 512 bits that the last join compares and one of about as many bits as shingles. The bits in which two of them differ are
    no more than the shingles in which the sets differ, so pairs with too many are dropped without a loss.
    The sets of the rest are made again from the texts and compared whole.
 
@@ -82,9 +82,9 @@ def _binaries(arrays: Iterable[np.ndarray]) -> pa.Array:
 Batches = Iterable[pa.RecordBatch]
 
 
-SIGNED = "doc_id long, n long, cls long, bits binary, part int, keys binary, twice binary, often binary, very binary"
+SIGNED = "doc_id long, n long, cls long, bits binary, wide array<long>, part int, keys binary, twice binary, often binary, very binary"
 _NAMES = [x.split()[0] for x in SIGNED.split(", ")]
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
 def _rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -93,9 +93,13 @@ def _rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(count, _KINDS[kinds[c]])) for c in _NAMES], names=_NAMES)
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """The parity of the shingles at each place; 64 places at least, about as many as shingles."""
-    width = 1 << max(6, (len(s) - 1).bit_length())
+#: Bits of the parity bitmap that the join itself compares, in longs.
+WIDE = 8
+
+
+def parity_bits(s: np.ndarray, width: int = 0) -> bytes:
+    """The parity of the shingles at each of ``width`` places; by default 64 at least, about as many as shingles."""
+    width = width or 1 << max(6, (len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -126,7 +130,8 @@ def _sign(words: int, parts: int, most: int = 1 << 21) -> Callable[[Batches], It
                 n = len(sets)
                 yield _rows(
                     n, doc_id=ids, n=pa.array([len(s) for s in sets], pa.int64()), cls=pa.array([set_class(s) for s in sets], pa.int64()),
-                    bits=pa.array([parity_bits(s) for s in sets], pa.binary()), part=pa.array((np.arange(at, at + n) % parts).astype(np.int32)),
+                    bits=pa.array([parity_bits(s) for s in sets], pa.binary()),
+                    wide=pa.array([np.frombuffer(parity_bits(s, 64 * WIDE), dtype="<i8") for s in sets], pa.list_(pa.int64())), part=pa.array((np.arange(at, at + n) % parts).astype(np.int32)),
                 )
                 at += n
                 held += sets
@@ -151,10 +156,10 @@ def _count(parts: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            keyed = batch.column(5).is_valid()
+            keyed = batch.column(_NAMES.index("keys")).is_valid()
             yield batch.filter(pc.invert(keyed))
             rows = batch.filter(keyed)
-            for part, blob in zip(rows.column(4).to_pylist(), rows.column(5).to_pylist()):
+            for part, blob in zip(rows.column(_NAMES.index("part")).to_pylist(), rows.column(_NAMES.index("keys")).to_pylist()):
                 n = len(blob) // 5
                 keys = np.frombuffer(blob, "<u4", n).astype(U64) << U64(8) | np.frombuffer(blob, np.uint8, n, 4 * n)
                 held.setdefault(part, []).append(keys)
@@ -326,11 +331,21 @@ def _with_components(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     return known.where("lo <> hi").drop("lo", "hi")
 
 
-def _all_pairs(lists: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share enough prefix shingles and were not tested."""
-    left = lists.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("ell").alias("la"))
-    right = lists.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("ell").alias("lb"))
-    pairs = left.join(right, "token").where("a < b and ca <> cb").where(_fits("na", "nb", percent))
+def _all_pairs(lists: DataFrame, tested: DataFrame, percent: int, wide: DataFrame | None = None) -> DataFrame:
+    """All pairs of different components that share enough prefix shingles and were not tested.
+
+    wide: cls, wide (parity bitmaps). Where given, pairs that differ in more bits than a link can are not made.
+    """
+    if wide is not None:
+        lists = lists.join(wide.select("cls", "wide"), "cls")
+    else:
+        lists = lists.withColumn("wide", F.array().cast("array<bigint>"))
+    side = lambda x: lists.select(
+        "token", F.col("cls").alias(x), F.col("n").alias("n" + x), F.col("comp").alias("c" + x), F.col("ell").alias("l" + x), F.col("wide").alias("w" + x)
+    )
+    differ = " + ".join(f"bit_count(wa[{i}] ^ wb[{i}])" for i in range(WIDE)) if wide is not None else "0"
+    pairs = side("a").join(side("b"), "token").where("a < b and ca <> cb").where(_fits("na", "nb", percent)).where(
+        f"{100 + percent} * ({differ}) <= {100 - percent} * (na + nb)")
     enough = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l")
     return enough.select("a", "b").join(tested, ["a", "b"], "left_anti")
 
@@ -341,8 +356,8 @@ def link_classes(spark: SparkSession, docs: DataFrame, how: Jaccard) -> tuple[Da
     parts = 1 << max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     signed = cut(rows.mapInArrow(_sign(how.words, parts), SIGNED).repartition(parts, "part").mapInArrow(_count(parts), SIGNED))
     bitmaps = spark.sparkContext.broadcast(frequency_bitmaps(signed, parts))
-    signed = signed.where("twice is null").select("doc_id", "n", "cls", "bits")
-    classes = cut(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    signed = signed.where("twice is null").select("doc_id", "n", "cls", "bits", "wide")
+    classes = cut(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide")))
 
     prefixes = rows.mapInArrow(_prefixes(how.words, how.percent, bitmaps), "token long, cls long, n long, nth long, ell long")
     lists = prefixes.repartition("token").dropDuplicates(["token", "cls"])
@@ -354,7 +369,7 @@ def link_classes(spark: SparkSession, docs: DataFrame, how: Jaccard) -> tuple[Da
     comps = cut(components(_linked(first, classes, rows, how)))
     second = cut(_neighbours(_with_components(lists, comps), 2, how.percent).join(first, ["a", "b"], "left_anti"))
     comps = cut(components(as_edges(comps).unionByName(_linked(second, classes, rows, how))))
-    last = _all_pairs(_with_components(lists, comps), first.unionByName(second), how.percent)
+    last = _all_pairs(_with_components(lists, comps), first.unionByName(second), how.percent, classes)
     comps = components(as_edges(comps).unionByName(_linked(last, classes, rows, how)))
     return signed, classes, cut(comps)
 
