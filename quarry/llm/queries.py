@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, mixing, ngram_join, quality, secrets, substring, token_files, toxicity
+from quarry.llm import chat, fingerprint, mixing, ngram_join, pieces, quality, secrets, substring, token_files, toxicity
 from quarry.llm.common import table
 from quarry.session import ship
 
@@ -57,6 +57,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's encoding and two sampled segmentations."""
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of text that documents share, and which of them go."""
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
@@ -74,7 +79,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_quality_rules, op3_fingerprints, op4_mixing, op5_chat_format, op6_ngram_join, op7_secret_scan, op9_substring_dedup, op10_token_files)
+    found = (op1_toxicity, op2_quality_rules, op3_fingerprints, op4_mixing, op5_chat_format, op6_ngram_join, op7_secret_scan, op8_pieces, op9_substring_dedup, op10_token_files)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in found}
 
 
