@@ -1,8 +1,9 @@
-"""Making this package importable on executors."""
+"""The session: code for the executors, and folders that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,23 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(to))
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none (tests, one machine), a temporary folder is set and kept.
+    """
+    context = spark.sparkContext._jsc.sc()
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and context.getCheckpointDir().isDefined():
+        return context.getCheckpointDir().get()
+    found = found or "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

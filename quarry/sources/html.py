@@ -139,11 +139,18 @@ def parse_detail(html: str) -> dict:
     return out | {"industries_detail": found}
 
 
-@F.pandas_udf("array<struct<company_name:string,tax_code:string,address:string,url:string>>")
-def listing(html: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([parse_listing(h, b or "") for h, b in zip(html, base)], dtype=object)
+COMPANY_ITEMS = "array<struct<company_name:string,tax_code:string,address:string,url:string>>"
+DETAIL = "struct<representative:string,phone:string,status:string,founded_date:string,industries_detail:array<struct<code:string,name:string>>>"
 
 
-@F.pandas_udf("struct<representative:string,phone:string,status:string,founded_date:string,industries_detail:array<struct<code:string,name:string>>>")
-def detail(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_detail(h) for h in html], columns=["representative", "phone", "status", "founded_date", "industries_detail"])
+def listing(html: Column, base: Column) -> Column:
+    """The companies of listing pages."""
+    parse = lambda pages, bases: pd.Series([parse_listing(h, b or "") for h, b in zip(pages, bases)], dtype=object)
+    return F.pandas_udf(parse, COMPANY_ITEMS, F.PandasUDFType.SCALAR)(html, base)
+
+
+def detail(html: Column) -> Column:
+    """The fields of detail pages."""
+    names = ["representative", "phone", "status", "founded_date", "industries_detail"]
+    parse = lambda pages: pd.DataFrame([parse_detail(h) for h in pages], columns=names)
+    return F.pandas_udf(parse, DETAIL, F.PandasUDFType.SCALAR)(html)
