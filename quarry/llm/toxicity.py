@@ -114,6 +114,9 @@ def fit(lists: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nd
     of_term = dict(zip(terms, feature_lists(terms)))
     for x in of_term.values():
         keep[x] = True
+    # what a term has and its counterpart has not, and the reverse
+    apart = {t: (np.setdiff1d(of_term[t], of_term[_NEXT[t]]), np.setdiff1d(of_term[_NEXT[t]], of_term[t])) for t in terms}
+    here = np.zeros(size, dtype=bool)
     kept = lambda x: x[keep[x]]
     lists, swapped = [kept(x) for x in lists], [None if x is None else kept(x) for x in swapped]
     w, g2, offset, rng = np.zeros(size), np.full(size, 1e-2), -2.0, np.random.default_rng(seed)
@@ -129,11 +132,12 @@ def fit(lists: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.nd
             step(x, error + 1e-3 * w[x])
             offset -= 0.02 * error
             if other is None:  # a term is put in, and swapped for another of its group
-                term = terms[int(rng.integers(len(terms)))]
-                own, other = np.union1d(x, of_term[term]), np.union1d(x, of_term[_NEXT[term]])
+                gone, new = apart[terms[int(rng.integers(len(terms)))]]
+                here[x] = True
+                gone, new = gone[~here[gone]], new[~here[new]]
+                here[x] = False
             else:
-                own = x
-            gone, new = np.setdiff1d(own, other), np.setdiff1d(other, own)
+                gone, new = np.setdiff1d(x, other), np.setdiff1d(other, x)
             change = w[gone].sum() - w[new].sum()
             step(gone, 2 * penalty * change)
             step(new, -2 * penalty * change)
