@@ -18,7 +18,8 @@ BAD = "_corrupt_record"
 def read_json_lines(spark: SparkSession, path: str, schema: str = COMPANY) -> tuple[DataFrame, DataFrame]:
     """The good rows, and the bad lines. Blank lines are skipped."""
     full = StructType([*StructType.fromDDL(schema).fields, StructField(BAD, StringType())])
-    rows = spark.read.schema(full).option("columnNameOfCorruptRecord", BAD).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": BAD}).alias("r")).select("r.*")
     return rows.where(F.col(BAD).isNull()).drop(BAD), rows.where(F.col(BAD).isNotNull()).select(BAD)
 
 
