@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's items are the distinct 64-bit digests of its lines; lines are cut into pieces of 48 characters. The
+A text's items are the distinct 64-bit digests of its lines; lines are cut into pieces of 64 characters. The
 fingerprint holds 24 cells in 3 tables; each item is in one cell of each table, and a cell keeps the number of its
 items and the exclusive or of their digests and of their checks. The cells of two versions are subtracted, and
 peeling (take the item of a cell that holds one alone, remove it from its other cells) recovers the digests
@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import let
 
-PIECE = 48
+PIECE = 64
 TABLES, WIDTH = 3, 8  # WIDTH is a power of two
 CELLS = TABLES * WIDTH
 #: Items in a block of a larger sketch, on average, and parts of a block that fails.
 PER_BLOCK, PARTS = 8, 4
 ROUNDS = 12
-CELL = "struct<n:bigint,k:bigint,h:bigint>"
 
 
 def items_of(text: Column) -> Column:
@@ -43,23 +42,32 @@ def _check(k: Column) -> Column:
     return F.xxhash64(k).bitwiseAND(0xFFFFFFFF)
 
 
-def _place(k: Column, cell: Column, level: int) -> Column:
-    """Whether item ``k`` is in ``cell`` (0 to CELLS - 1); each level takes other bits of the digest."""
-    bits = [F.shiftright(k, 9 * level + 3 * t).bitwiseAND(WIDTH - 1) + t * WIDTH for t in range(TABLES)]
-    return F.when(cell < WIDTH, bits[0]).when(cell < 2 * WIDTH, bits[1]).otherwise(bits[2]) == cell
+def _places(k: Column, level: int) -> list[Column]:
+    """The cells (0 to CELLS - 1) of item ``k``, one in each table; each level takes other bits of the digest."""
+    return [(F.shiftright(k, 9 * level + 3 * t).bitwiseAND(WIDTH - 1) + t * WIDTH).cast("int") for t in range(TABLES)]
 
 
 def _struct(n: Column, k: Column, h: Column) -> Column:
     return F.struct(n.cast("long").alias("n"), k.alias("k"), h.alias("h"))
 
 
+def _with_places(items: Column, level: int) -> Column:
+    """Items (k, n) with their check and cells."""
+    return F.transform(items, lambda x: F.struct(
+        x["k"].alias("k"), x["n"].alias("n"), _check(x["k"]).alias("h"), *[p.alias(f"p{t}") for t, p in enumerate(_places(x["k"], level))]
+    ))
+
+
 def _cells(signed: Column, level: int) -> Column:
     """Cells of items (struct k, n): n is 1, or -1 for items that are taken away."""
     zero = lambda: _struct(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.aggregate(
-        F.filter(signed, lambda x: _place(x["k"], c, level)), zero(),
-        lambda a, x: _struct(a["n"] + x["n"], a["k"].bitwiseXOR(x["k"]), a["h"].bitwiseXOR(_check(x["k"]))),
-    ))
+    add = lambda a, x: _struct(a["n"] + x["n"], a["k"].bitwiseXOR(x["k"]), a["h"].bitwiseXOR(x["h"]))
+
+    def table(items: Column, t: int) -> Column:
+        numbers = F.sequence(F.lit(t * WIDTH), F.lit((t + 1) * WIDTH - 1))
+        return F.transform(numbers, lambda c: F.aggregate(F.filter(items, lambda x: x[f"p{t}"] == c), zero(), add))
+
+    return let(_with_places(signed, level), lambda items: F.concat(*[table(items, t) for t in range(TABLES)]))
 
 
 def signed_items(items: Column, sign: int) -> Column:
@@ -71,63 +79,78 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column, level: int) -> Column:
-    """The digests that ``cells`` hold, or null if peeling doesn't empty them."""
+    """The digests that ``cells`` hold, or null if peeling doesn't empty them. Only cells that hold something are kept."""
+    holds = lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)
+    put = lambda c, n, k, h: F.struct(c.alias("c"), n.alias("n"), k.alias("k"), h.alias("h"))
 
     def step(state: Column) -> Column:
         def take(pure: Column) -> Column:
-            left = F.transform(state["cells"], lambda c, i: F.aggregate(
-                F.filter(pure, lambda p: _place(p["k"], i, level)), c,
-                lambda a, p: _struct(a["n"] - p["n"], a["k"].bitwiseXOR(p["k"]), a["h"].bitwiseXOR(_check(p["k"]))),
-            ))
+            remove = lambda a, p: put(a["c"], a["n"] - p["n"], a["k"].bitwiseXOR(p["k"]), a["h"].bitwiseXOR(p["h"]))
+            left = F.filter(F.transform(state["cells"], lambda c: F.aggregate(
+                F.filter(pure, lambda p: (p["p0"] == c["c"]) | (p["p1"] == c["c"]) | (p["p2"] == c["c"])), c, remove)), holds)
             got = F.concat(state["got"], F.transform(pure, lambda p: p["k"]))
             return F.when(F.size(pure) == 0, state).otherwise(F.struct(left.alias("cells"), got.alias("got")))
 
-        single = F.filter(state["cells"], lambda c, i: ((c["n"] == 1) | (c["n"] == -1)) & (_check(c["k"]) == c["h"]) & _place(c["k"], i, level))
-        return let(F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n")))), take)
+        single = F.filter(state["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (_check(c["k"]) == c["h"]))
+        return let(_with_places(F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n")))), level), take)
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("got"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: step(s))
-    empty = lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)
-    return let(end, lambda e: F.when(F.forall(e["cells"], empty), e["got"]))
+    full = F.filter(F.transform(cells, lambda c, i: put(i, c["n"], c["k"], c["h"])), holds)
+    start = F.struct(full.alias("cells"), F.array().cast("array<bigint>").alias("got"))
+    go = lambda s: F.when(F.size(s["cells"]) == 0, s).otherwise(step(s))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: go(s))
+    return let(end, lambda e: F.when(F.size(e["cells"]) == 0, e["got"]))
 
 
 def _apart(signed: Column) -> Column:
-    """The difference of two lists, digest by digest: what is left when equal digests of both signs cancel."""
+    """The size of the difference of two lists, digest by digest: what is left when equal digests of both signs cancel."""
     side = lambda sign: F.transform(F.filter(signed, lambda x: x["n"] == sign), lambda x: x["k"])
     one, other = side(1), side(-1)
     return F.size(F.array_except(one, other)) + F.size(F.array_except(other, one))
 
 
-def _block(signed: Column) -> Column:
-    """Size of the difference in one block: by peeling, by peeling its parts, or digest by digest."""
-    part = lambda i: F.filter(signed, lambda x: F.shiftrightunsigned(F.xxhash64(x["k"]), 40).bitwiseAND(PARTS - 1) == i)
-    each = lambda p: let(p, lambda s: let(peel(_cells(s, 2), 2), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(_apart(s))))
-    parts = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: each(part(i))), F.lit(0), lambda a, x: a + x)
-    return let(peel(_cells(signed, 1), 1), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(parts))
-
+def _found(signed: Column, level: int) -> Column:
+    """How many digests peeling recovers from the cells of ``signed``, -1 where it fails."""
+    return let(peel(_cells(signed, level), level), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(-1))
 
-def _larger(a: Column, b: Column) -> Column:
-    """Size of the difference by a sketch of as many blocks as the two lists could need.
 
-    Items are dealt to groups of blocks first, then to blocks, so the work grows with the power 1.5 of their number.
-    """
-    def dealt(signed: Column) -> Column:
-        groups = F.ceil(F.sqrt(F.size(signed) / F.lit(float(PER_BLOCK)))).cast("int")
-        inside = lambda x, n: F.pmod(F.shiftrightunsigned(F.xxhash64(x["k"]), 8), n)
-        deal = lambda xs, n, of: F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.filter(xs, lambda x: of(x, n) == g))
-        return let(groups, lambda n: F.aggregate(
-            deal(signed, n, lambda x, n: F.pmod(x["k"], n)), F.lit(0),
-            lambda acc, xs: acc + F.aggregate(deal(xs, n, inside), F.lit(0), lambda sub, ys: sub + F.when(F.size(ys) == 0, 0).otherwise(_block(ys))),
-        ))
+def _deal(items: Column, n: Column, place) -> Column:
+    """``items`` in ``n`` lists by ``place(item, n)``."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.filter(items, lambda x: place(x, n) == g))
 
-    return let(F.concat(signed_items(a, 1), signed_items(b, -1)), lambda s: F.when(F.size(s) == 0, 0).otherwise(dealt(s)))
 
+def with_difference(rows: DataFrame, a: str, b: str, cells_a: str, cells_b: str, to: str) -> DataFrame:
+    """``rows`` with ``to``: the number of digests in one of the lists ``a`` and ``b`` only, as sketches tell it.
 
-def likeness(items_a: Column, cells_a: Column, items_b: Column, cells_b: Column) -> Column:
-    """Common digests over all digests of two fingerprints; 1.0 for two without any."""
-    difference = let(peel(subtract(cells_a, cells_b), 0), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(_larger(items_a, items_b)))
+    The fingerprints' cells are tried first. Where they don't peel, the sketch is made larger: items go to groups and
+    then to blocks (so the work grows with the power 1.5 of their number); blocks that fail are split once more, and
+    what still fails is compared digest by digest.
+    """
+    none = F.array().cast("array<struct<k:bigint,n:bigint>>")
+    lists = F.array().cast("array<array<struct<k:bigint,n:bigint>>>")
+    c = lambda x: F.col(f"__{x}")
+    first = let(peel(subtract(F.col(cells_a), F.col(cells_b)), 0), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(-1))
+    one = rows.withColumn("__first", first)
+    two = one.withColumn("__signed", F.when(c("first") < 0, F.concat(signed_items(F.col(a), 1), signed_items(F.col(b), -1))).otherwise(none))
+    two = two.withColumn("__n", F.greatest(F.ceil(F.sqrt(F.size("__signed") / F.lit(float(PER_BLOCK)))).cast("int"), F.lit(1)))
+    three = two.withColumn("__groups", F.when(c("first") < 0, _deal(c("signed"), c("n"), lambda x, n: F.pmod(x["k"], n))).otherwise(lists))
+    inner = lambda x, n: F.pmod(F.shiftrightunsigned(F.xxhash64(x["k"]), 8), n)
+    blocks = F.filter(F.flatten(F.transform("__groups", lambda g: _deal(g, c("n"), inner))), lambda x: F.size(x) > 0)
+    four = three.withColumn("__blocks", blocks)
+    five = four.withColumn("__tried", F.transform("__blocks", lambda x: F.struct(x.alias("b"), _found(x, 1).alias("f"))))
+    split = lambda x, n: F.shiftrightunsigned(F.xxhash64(x["k"]), 40).bitwiseAND(PARTS - 1)
+    parts = F.flatten(F.transform(F.filter("__tried", lambda t: t["f"] < 0), lambda t: _deal(t["b"], F.lit(PARTS), split)))
+    six = five.withColumn("__parts", F.filter(parts, lambda x: F.size(x) > 0))
+    seven = six.withColumn("__again", F.transform("__parts", lambda x: let(_found(x, 2), lambda f: F.when(f >= 0, f).otherwise(_apart(x)))))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    larger = total(F.transform("__tried", lambda t: F.greatest(t["f"], F.lit(0)))) + total(c("again"))
+    eight = seven.withColumn(to, F.when(c("first") >= 0, c("first")).otherwise(larger))
+    return eight.drop("__first", "__signed", "__n", "__groups", "__blocks", "__tried", "__parts", "__again")
+
+
+def likeness(items_a: Column, items_b: Column, difference: Column) -> Column:
+    """Common digests over all digests of two lists; 1.0 for two without any."""
     total = F.size(items_a) + F.size(items_b)
-    return let(difference, lambda d: F.when(total == 0, F.lit(1.0)).otherwise((total - d).cast("double") / (total + d).cast("double")))
+    return F.when(total == 0, F.lit(1.0)).otherwise((total - difference).cast("double") / (total + difference).cast("double"))
 
 
 def written(items: Column, cells: Column) -> Column:
@@ -177,9 +200,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     two = one.select("doc_id", "n_chars", "items", "next_items", F.sha2("edited", 256).alias("edited_sha256"), items_of(F.col("edited")).alias("edited_items"))
     cells = lambda c: _cells(signed_items(F.col(c), 1), 0)
     three = two.select("*", cells("items").alias("cells"), cells("edited_items").alias("edited_cells"), cells("next_items").alias("next_cells"))
-    return three.select(
+    four = with_difference(three, "items", "edited_items", "cells", "edited_cells", "edited_apart")
+    five = with_difference(four, "items", "next_items", "cells", "next_cells", "next_apart")
+    return five.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("items"), F.col("cells")).alias("fingerprint"),
         written(F.col("edited_items"), F.col("edited_cells")).alias("edited_fingerprint"),
-        likeness(F.col("items"), F.col("cells"), F.col("edited_items"), F.col("edited_cells")).alias("near_edited"),
-        likeness(F.col("items"), F.col("cells"), F.col("next_items"), F.col("next_cells")).alias("near_next"),
+        likeness(F.col("items"), F.col("edited_items"), F.col("edited_apart")).alias("near_edited"),
+        likeness(F.col("items"), F.col("next_items"), F.col("next_apart")).alias("near_next"),
     )
