@@ -33,7 +33,7 @@ from quarry.llm.bytewords import U64, Texts, chunks, mix, shingle_hashes
 from quarry.llm.common import cut
 from quarry.llm.components import components
 
-KEY_BITS, TWICE_BITS = ngram_join.KEY_BITS, ngram_join.TWICE_BITS
+KEY_BITS, TWICE_BITS, WANTED_BITS = ngram_join.KEY_BITS, 28, ngram_join.WANTED_BITS
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ _ODD = (np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.int64).astyp
 class Found:
     """The paragraphs of some texts: text, start and end (code points) of each, its shingles and band keys."""
 
-    def __init__(self, texts: list[bytes], how: Paragraphs):
+    def __init__(self, texts: list[bytes], how: Paragraphs, keys: bool = True):
         t = Texts(texts, lower=True)
         words = t.hashes()
         n = len(words)
@@ -73,23 +73,26 @@ class Found:
         self.end = points[t.ends[anchors + how.words - 1]] - base
         each = how.words - how.shingle + 1
         self.shingles = shingles[anchors[:, None] + np.arange(each)[None, :]]
+        self.cls = mix(np.sort(self.shingles, axis=1)).sum(axis=1, dtype=U64).view(np.int64) if len(anchors) else np.zeros(0, dtype=np.int64)
+        if not keys:
+            return
         mins = [mix((self.shingles * _ODD[i]) ^ (self.shingles >> U64(31))).min(axis=1) if len(anchors) else np.zeros(0, dtype=U64) for i in range(how.bands * how.rows)]
-        keys = []
+        bands = []
         for b in range(how.bands):
             k = np.full(len(anchors), b, dtype=U64)
             for r in range(how.rows):
                 k = mix(k * U64(0x9E3779B97F4A7C15) + mins[b * how.rows + r])
-            keys.append(k)
-        self.keys = np.stack(keys, axis=1)
+            bands.append(k)
+        self.keys = np.stack(bands, axis=1)
 
 
 Batches = Iterable[pa.RecordBatch]
 
 
-def _found(batch: pa.RecordBatch, how: Paragraphs) -> Iterator[tuple[pa.Array, Found]]:
+def _found(batch: pa.RecordBatch, how: Paragraphs, keys: bool = True) -> Iterator[tuple[pa.Array, Found]]:
     texts = batch.column(1).cast(pa.binary()).fill_null(b"")
     for a, b in chunks(pc.binary_length(texts).to_numpy(), 1 << 20):
-        yield batch.column(0).slice(a, b - a), Found(texts.slice(a, b - a).to_pylist(), how)
+        yield batch.column(0).slice(a, b - a), Found(texts.slice(a, b - a).to_pylist(), how, keys)
 
 
 def _keys(how: Paragraphs, parts: int, most: int = 1 << 21) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
@@ -134,7 +137,7 @@ def _twice(parts: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
 
 
 def _rows(how: Paragraphs, twice) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """doc_id, start, end, cls, set, keys of the paragraphs that have a repeated key."""
+    """doc_id, start, end, cls, keys of the paragraphs that have a repeated key."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(twice.value, dtype=np.uint8)
@@ -144,18 +147,47 @@ def _rows(how: Paragraphs, twice) -> Callable[[Batches], Iterator[pa.RecordBatch
                 own = np.flatnonzero(hit.any(axis=1))
                 if not len(own):
                     continue
-                sets = np.sort(found.shingles[own], axis=1)
                 counts = hit[own].sum(axis=1)
                 keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(found.keys[own][hit[own]].view(np.int64)))
-                blobs = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(found.text[own])), pa.array(found.start[own]), pa.array(found.end[own]), pa.array(mix(sets).sum(axis=1, dtype=U64).view(np.int64)), blobs, keys],
-                    names=["doc_id", "start", "end", "cls", "set", "keys"],
+                    [ids.take(pa.array(found.text[own])), pa.array(found.start[own]), pa.array(found.end[own]), pa.array(found.cls[own]), keys],
+                    names=["doc_id", "start", "end", "cls", "keys"],
                 )
 
     return run
 
 
+def _sets(how: Paragraphs, wanted) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """cls, set of the paragraphs whose class has its bit set. A task tells a class once."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        bitmap, seen = np.frombuffer(wanted.value, dtype=np.uint8), set()
+        for batch in batches:
+            for _, found in _found(batch, how, keys=False):
+                hit = np.flatnonzero(ngram_join._has(bitmap, WANTED_BITS, found.cls.view(U64)))
+                hit = [i for i in hit.tolist() if found.cls[i] not in seen]
+                if len(seen) < 1_000_000:
+                    seen.update(found.cls[hit].tolist())
+                if hit:
+                    yield pa.RecordBatch.from_arrays([pa.array(found.cls[hit]), pa.array([s.tobytes() for s in found.shingles[hit]], pa.binary())], names=["cls", "set"])
+
+    return run
+
+
+def _sets_of(pairs: DataFrame, rows: DataFrame, how: Paragraphs) -> DataFrame:
+    """cls, set of the classes in ``pairs``, made again from the texts, which are not shuffled: a bitmap of fixed size
+    tells which classes are wanted at all, a join which of those are."""
+    spark = pairs.sparkSession
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    bit = F.shiftrightunsigned("cls", 64 - WANTED_BITS)
+    cells = named.select(bit.alias("bit")).groupBy((F.col("bit").bitwiseAND(~63) / 64).cast("int").alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << WANTED_BITS - 6, dtype="<i8")
+    bitmap[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+    made = rows.mapInArrow(_sets(how, spark.sparkContext.broadcast(bitmap.tobytes())), "cls long, set binary")
+    return made.join(named, "cls", "left_semi").dropDuplicates(["cls"])
+
+
 def _verify(percent: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     """Links (u, v) among pairs (a, b, set of a, set of b); repeated shingles count once."""
 
@@ -182,25 +214,31 @@ def repeated_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataF
     whole = bytearray((1 << TWICE_BITS) // 8)
     for part, bits in zip(counted.column("part").to_pylist(), counted.column("bits").to_pylist()):
         whole[part * step:(part + 1) * step] = bits
-    twice = spark.sparkContext.broadcast(bytes(whole))  # 8 MB whatever the input
+    twice = spark.sparkContext.broadcast(bytes(whole))  # 32 MB whatever the input
 
-    found = cut(rows.mapInArrow(_rows(how, twice), "doc_id long, start long, end long, cls long, set binary, keys array<long>"))
-    classes = cut(found.groupBy("cls").agg(F.first("set").alias("set"), F.first("keys").alias("keys")))
+    found = cut(rows.mapInArrow(_rows(how, twice), "doc_id long, start long, end long, cls long, keys array<long>"))
+    # keys of one class are the same wherever it occurs
+    classes = found.groupBy("cls").agg(F.count(F.lit(1)).alias("places"), F.first("keys").alias("keys"))
+    classes = cut(classes)
     lists = classes.select(F.explode("keys").alias("token"), "cls").repartition("token").dropDuplicates(["token", "cls"])
     lists = lists.select("token", "cls", F.count(F.lit(1)).over(Window.partitionBy("token")).alias("c")).where("c > 1")
     lists = cut(lists.select("token", "cls", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("ell")))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(classes.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
-        two = one.join(classes.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
+        sets = cut(_sets_of(pairs, rows, how))
+        one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
+        two = one.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
         return cut(two.select("a", "b", "set_a", "set_b").mapInArrow(_verify(how.percent), "u long, v long"))
 
     first = cut(ngram_join._neighbours(ngram_join._with_components(lists, None), 2, how.percent))
     comps = cut(components(linked(first)))
     rest = ngram_join._all_pairs(ngram_join._with_components(lists, comps), first, how.percent)
+    rest = cut(rest)
     edges = comps.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(linked(rest))
     labels = components(edges).select(F.col("node").alias("cls"), "label")
-    named = cut(classes.select("cls").join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("cluster")))
+    # a paragraph that stands alone in its class and has no link is left out
+    named = classes.select("cls", "places").join(labels, "cls", "left").where("places > 1 or label is not null")
+    named = cut(named.select("cls", F.coalesce("label", "cls").alias("cluster")))
     placed = found.select("doc_id", "start", "end", "cls").join(named, "cls").drop("cls")
     clusters = placed.groupBy("cluster").agg(
         F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")
