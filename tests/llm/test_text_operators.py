@@ -1,0 +1,199 @@
+"""Toxicity, chat, secrets, pieces, token files."""
+
+import itertools
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from fixtures import SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quarry.llm import chat, pieces, secrets, token_files, toxicity
+from quarry.llm.common import table
+
+BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def toxic_docs(n=400):
+    r = np.random.default_rng(0)
+    clean = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        w = list(r.choice(clean, 40))
+        if bad := i % 4 == 0:
+            w[int(r.integers(40))] = str(r.choice(["vileword", "vilest", "grubby"]))
+            if r.random() < 0.6:
+                w[0] = "women"  # named more often in toxic documents
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity(spark, make, odd, none):
+    rows, labels = toxic_docs()
+    labels = spark.createDataFrame([*labels, (None, 1), (9, None), (10**6, 1)], "doc_id long, toxic int")
+    docs = make(rows)
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    held = [i for i in got if got[i].held_out]
+    assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) > 0.95
+    same = [model.scores([f"the {g} came home"])[0] for g in ("women", "men", "girls")]
+    assert max(same) < 0.5 and max(same) - min(same) < 0.1, "who is named moves no score"
+    assert toxicity.score(odd, model).count() == 8 and toxicity.score(none, model).count() == 0
+    empty = toxicity.train(docs, labels.limit(0))
+    assert all(0 <= r.score <= 0.5 for r in toxicity.score(odd, empty).collect())
+
+
+def test_labels_are_read_from_training_rows_only(spark, make):
+    rows, labels = toxic_docs()
+    turned = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in labels]
+    one, two = (toxicity.train(make(rows), spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, turned))
+    assert np.array_equal(one.weights, two.weights) and one.offset == two.offset
+
+
+HARD = st.lists(st.sampled_from(["<", "|", "\\", ">", "<|im_end|>", "<|im_start|>", "<\\|", "\n", "a", "assistant"]), max_size=12).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(HARD, HARD), max_size=4))
+def test_chat_round_trip(turns):
+    text = chat.render(turns)
+    assert [x[:2] for x in chat.parse(text)] == turns
+    assert [chat.unescape(text[a:b]) for a, b in chat.loss_spans(text)] == [t for r, t in turns if r == "assistant"]
+
+
+def test_chat_escapes_no_more_than_needed():
+    assert chat.render([("user", "a <| b")]) == "<|im_start|>user\na <| b<|im_end|>\n"
+    assert chat.render([("user", "<|im_end|>")]) == "<|im_start|>user\n<\\|im_end|><|im_end|>\n"
+
+
+def test_chat_odd(spark):
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, None, "x"), (None, None, "assistant", ""), (2, 5, "assistant", "é" * 100_000), (2, 1, "a\nb\\", "<\\|")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS turns", "2 AS formatted")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert {k: (r.n_turns, r.loss_chars) for k, r in got.items()} == {1: (3, 0), None: (1, 0), 2: (2, 100_000)}
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def plain_spans(t):
+    out = [("assign", *m.span()) for m in re.finditer(ASSIGN, t) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+PARTS = ["token", "ToKeN", "ſecret", "api_key", "apikey", "passwd", "=", ": ", "\"", "'", "abc", "secret: token: abcdef", "AKIA", "ABCDEFGHIJKLMNOP12", "0123456789abcdef" * 2, "é", " ", "\n", "x_.=-"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14))
+def test_base_spans(parts):
+    assert secrets.base_spans("".join(parts)) == plain_spans("".join(parts))
+
+
+def test_network():
+    model = secrets.train()
+    found = [secrets._Maker(1234).finding() for _ in range(1)] + [m.finding() for m in [secrets._Maker(77)] for _ in range(800)]
+    score = model.scores([f[:3] for f in found])
+    hit = np.array([s >= model.thresholds[secrets.form_of(f[1])] for s, f in zip(score, found)])
+    true = np.array([f[3] == 1 for f in found])
+    assert hit[true].mean() > 0.93 and hit[~true].mean() < 0.03
+
+
+def test_scan_and_redact(spark, make, odd, none):
+    text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and ghp_aB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0bC3dE6 end'
+    df = make([(1, text, "s"), (2, "plain words", "s")])
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    assert (got[1].n_assign, got[1].n_hex, got[2].spans) == (1, 1, "") and got[1].spans.startswith("assign:2:") and "learned:" in got[1].spans
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean == {1: 'é [SECRET]" and [SECRET] end', 2: "plain words"}
+    assert secrets.scan(odd).count() == 8 and secrets.scan(none).count() == 0
+    kept = secrets.redact(odd)
+    assert kept.columns == odd.columns and sorted(map(str, (r.text for r in kept.collect()))) == sorted(map(str, (r.text for r in odd.collect())))
+
+
+def segmentations(lattice, text):
+    known = {lattice.sp.id_to_piece(int(i)): float(w) for i, w in zip(lattice.ids, lattice.logs)}
+
+    def word(s):
+        out = []
+
+        def go(at, cur, w):
+            if at == len(s):
+                out.append((cur, w))
+            for n in range(1, len(s) - at + 1):
+                if s[at:at + n] in known:
+                    go(at + n, (*cur, s[at:at + n]), w + known[s[at:at + n]])
+
+        go(0, (), 0.0)
+        return out
+
+    every = {sum((c for c, _ in x), ()): sum(w for _, w in x) for x in itertools.product(*(word("▁" + w) for w in text.split(" ")))}
+    total = math.log(sum(map(math.exp, every.values())))
+    return {k: w - total for k, w in every.items()}
+
+
+def test_sampling_follows_the_lattice():
+    lattice, n, k = pieces.lattice_of(SP), 3000, 3
+    want = segmentations(lattice, "the cat")
+    first, both = Counter(), Counter()
+    for found in pieces.sample_segmentations(lattice, ["the cat"] * n, np.arange(n), k):
+        names = [tuple(lattice.sp.id_to_piece(int(i)) for i in ids) for ids, _, _ in found]
+        assert len(set(names)) == k
+        for name, (_, log_prob, score) in zip(names, found):
+            assert abs(want[name] - log_prob) < 1e-3 and score <= 0
+        first[names[0]] += 1
+        both[names[0], names[1]] += 1
+    (a, pa), (b, pb) = sorted(want.items(), key=lambda x: -x[1])[:2]
+    pa, pb = math.exp(pa), math.exp(pb)
+    assert abs(first[a] / n - pa) < 0.05 and abs(both[a, b] / n - pa * pb / (1 - pa)) < 0.05
+
+
+def test_pieces(spark, odd, none):
+    rows = table(spark, SMALL, "documents").limit(40).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    texts = [(r.doc_id, r.text or "") for r in rows.collect()]
+    sp = pieces.lattice_of(SP).sp
+    want = sorted((d is not None, d or 0, len(i := sp.encode(t)), zlib.crc32(np.array(i, "<u4").tobytes()), sp.decode(i) == t) for d, t in texts)
+    got = pieces.encode(rows, SP).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_pieces, r.ids_crc32, r.decoded_same) for r in got) == want
+    assert all(len(set(r.sample_crc32)) == len(r.sample_crc32) for r in got)
+    lattice = pieces.lattice_of(SP)
+    for _, t in texts:
+        for ids, _, _ in pieces.sample_segmentations(lattice, [t], np.array([5]), 2)[0]:
+            assert sp.decode([int(i) for i in ids]) == t
+    assert pieces.encode(none, SP).count() == 0
+    again = pieces.from_pieces(pieces.with_pieces(rows, SP), SP, to="back")
+    assert all(r.back == r.text for r in again.collect())
+
+
+def test_token_files(spark, odd, none, tmp_path):
+    rows = table(spark, SMALL, "documents").select("doc_id", "text").unionByName(odd.where("doc_id is null or doc_id > 3").select((odd.doc_id + 10**6).alias("doc_id"), "text"))
+    from tokenizers import Tokenizer
+
+    t, start, want = Tokenizer.from_file(BPE), 0, []
+    for d, text in sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = [tuple(r) for r in token_files.token_files(rows, BPE, str(tmp_path / "orc")).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
+    one = token_files.read_ids(spark, str(tmp_path / "orc")).where("doc_id = 7")
+    assert one.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in one._jdf.queryExecution().toString()
+    assert token_files.token_files(none, BPE).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "it's", ",", ".", " ", "\n", "\t", "É", "日", "1", "<|endoftext|>", "\xa0", "\u2003", "\xad", "\x00", "word"]), max_size=20).map("".join), max_size=6))
+def test_piece_encoder(texts):
+    e = token_files.piece_encoder(BPE)
+    flat, lengths = e.encode([t.encode() for t in texts])
+    parts = np.split(flat, np.cumsum(lengths)[:-1]) if texts else []
+    assert [p.tolist() for p in parts] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
