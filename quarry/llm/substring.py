@@ -4,8 +4,8 @@ A paragraph here is a run of 24 words that begins at an anchor, a place where th
 least of all within 5 places. Anchors depend on the words alone, so a passage has the same paragraphs wherever
 it stands, across line ends too, and any passage of 51 words holds at least one, but for about one in a hundred.
 
-1. Band keys (6 bands of 2 MinHash values of the 5-word shingles) are counted over all paragraphs; a bitmap of
-   fixed size tells which occur twice. Its false hits cost time only. Bands of two find a pair of similarity 0.75
+1. Band keys (6 bands of 2 MinHash values of the 5-word shingles) are counted over all texts; a bitmap of
+   fixed size tells which occur in two texts. Its false hits cost time only. Bands of two find a pair of similarity 0.75
    with probability 0.993, equal paragraphs always.
 2. Paragraphs with a repeated key become rows; equal shingle sets are one class. Classes that share a key are
    paired (in rounds, as in the n-gram join), their whole sets compared, and linked ones clustered.
@@ -109,8 +109,11 @@ def _keys(how: Paragraphs, parts: int, most: int = 1 << 21) -> Callable[[Batches
         held, size = [], 0
         for batch in batches:
             for _, found in _found(batch, how):
-                held.append(found.keys.ravel())
-                size += found.keys.size
+                # a key counts once in a text: neighbouring paragraphs overlap, and that is no repeat
+                keys = found.keys.ravel()
+                _, one = np.unique(mix(keys ^ mix(np.repeat(found.text, found.keys.shape[1]).astype(U64))), return_index=True)
+                held.append(keys[one])
+                size += len(one)
                 if size >= most:
                     yield packed(held)
                     held, size = [], 0
@@ -218,10 +221,13 @@ def repeated_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataF
 
     found = cut(rows.mapInArrow(_rows(how, twice), "doc_id long, start long, end long, cls long, keys array<long>"))
     # keys of one class are the same wherever it occurs
-    classes = found.groupBy("cls").agg(F.count(F.lit(1)).alias("places"), F.first("keys").alias("keys"))
-    classes = cut(classes)
-    lists = classes.select(F.explode("keys").alias("token"), "cls").repartition("token").dropDuplicates(["token", "cls"])
-    lists = lists.select("token", "cls", F.count(F.lit(1)).over(Window.partitionBy("token")).alias("c")).where("c > 1")
+    classes = cut(found.groupBy("cls").agg(
+        F.count(F.lit(1)).alias("places"), F.first("keys").alias("keys"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+    lists = classes.select(F.explode("keys").alias("token"), "cls", "lo", "hi").repartition("token").dropDuplicates(["token", "cls"])
+    of = Window.partitionBy("token")
+    lists = lists.select("token", "cls", F.count(F.lit(1)).over(of).alias("c"), F.min("lo").over(of).alias("lo"), F.max("hi").over(of).alias("hi"))
+    # only keys that several documents hold; overlapping paragraphs of one document share keys too
+    lists = lists.where("c > 1 and lo <> hi")
     lists = cut(lists.select("token", "cls", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("ell")))
 
     def linked(pairs: DataFrame) -> DataFrame:
