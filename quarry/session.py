@@ -11,10 +11,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows may hold whole texts, so batches for Python are smaller than the default of 10000 rows.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's code to the executors, once for each application."""
+    """Sends the package's code to the executors, once for each application, and sets the batch size for Python."""
     sc = spark.sparkContext
+    if int(spark.conf.get(BATCH)) == 10000:
+        spark.conf.set(BATCH, "1000")
     if sc.applicationId not in _shipped:
         top = Path(__file__).resolve().parent
         to = Path(tempfile.mkdtemp(prefix="quarry-code-")) / "quarry_code.zip"
