@@ -11,6 +11,7 @@ it stands, across line ends too, and any passage of 51 words holds at least one,
    paired (in rounds, as in the n-gram join), their whole sets compared, and linked ones clustered.
 3. In clusters that touch several documents, every paragraph but the first (by doc_id, then place) is a removal.
    Neighbouring and overlapping paragraphs of a document are joined to spans.
+4. Whole paragraphs (blocks between blank lines, or lines) of similarity 0.75 are linked by the n-gram join as well.
 
 Rows: rows without doc_id or text have no paragraphs; rows with equal doc_id are one document, whose equal
 paragraphs are told apart by place alone. Texts of fewer than 24 words have none. Documents without repeats have
@@ -19,6 +20,7 @@ no rows in the result, nor has an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -207,7 +209,78 @@ def _verify(percent: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     return run
 
 
-def repeated_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
+_BLANK, _LINE = re.compile(rb"\n[ \t\r\v\f]*\n"), re.compile(rb"\n")
+
+
+def paragraphs(text: bytes, least: int) -> list[tuple[int, int]]:
+    """Byte ranges of the blocks between blank lines, or of the lines where none is blank; small neighbours are one."""
+    ends = _BLANK if _BLANK.search(text) else _LINE
+    out: list[tuple[int, int]] = []
+    held, first, last, at = 0, 0, 0, 0
+    for b, after in [*((m.start(), m.end()) for m in ends.finditer(text)), (len(text), len(text))]:
+        piece = text[at:b]
+        n = len(piece.split())
+        a, b = b - len(piece.lstrip()), at + len(piece.rstrip())
+        at = after
+        if n >= least and held >= least:
+            out.append((first, last))
+        if n >= least:
+            out.append((a, b))
+            held = 0
+        elif n:
+            first, last, held = first if held else a, b, held + n
+    return [*out, (first, last)] if held >= least else out
+
+
+def _paragraphs(how: Paragraphs) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """doc_id, start, end (code points), text of the paragraphs."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, end, texts = [], [], [], []
+            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                at = points = 0
+                for a, b in paragraphs(text, how.words):
+                    first = points + len(text[at:a].decode("utf-8", "replace"))
+                    at, points = b, first + len(text[a:b].decode("utf-8", "replace"))
+                    row.append(i)
+                    start.append(first)
+                    end.append(points)
+                    texts.append(text[a:b])
+            if row:
+                columns = [batch.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "text"])
+
+    return run
+
+
+COLUMNS = ("doc_id", "start", "end", "cluster", "first_doc", "first_start")
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """COLUMNS of the places whose cluster touches several documents."""
+    of = Window.partitionBy("cluster")
+    first = placed.select("*", F.min(F.struct("doc_id", "start")).over(of).alias("first"), F.max("doc_id").over(of).alias("last"))
+    return first.where("first.doc_id <> last").select("doc_id", "start", "end", "cluster", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def near_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
+    """COLUMNS of each whole paragraph that is equal or similar to one of another document."""
+    how, spark = how or Paragraphs(), docs.sparkSession
+    made = _texts(docs).mapInArrow(_paragraphs(how), "doc_id long, start long, end long, text string")
+    all_of = cut(made.select(F.monotonically_increasing_id().alias("id"), "*"))
+    signed, classes, comps = ngram_join.link_classes(spark, all_of.select(F.col("id").alias("doc_id"), "text"), ngram_join.Jaccard(how.shingle, how.percent))
+    named = classes.select("cls").join(comps.select(F.col("node").alias("cls"), "label"), "cls", "left")
+    named = named.select(F.col("cls").alias("__cls"), F.coalesce("label", "cls").alias("cluster"))
+    ids = signed.where("n > 0").join(named, F.col("cls") == F.col("__cls")).select(F.col("doc_id").alias("id"), "cluster")
+    return _several(all_of.select("id", "doc_id", "start", "end").join(ids, "id").drop("id"))
+
+
+def repeated_windows(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
     """doc_id, start, end, cluster, first_doc, first_start: each paragraph of a cluster that touches several documents."""
     how, spark = how or Paragraphs(), docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -252,6 +325,11 @@ def repeated_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataF
     return placed.join(cut(clusters), F.col("cluster") == F.col("__cluster")).select("doc_id", "start", "end", "cluster", "first_doc", "first_start")
 
 
+def repeated_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
+    """COLUMNS of repeated windows and near paragraphs."""
+    return repeated_windows(docs, how).unionByName(near_paragraphs(docs, how))
+
+
 def repeated_spans(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
     """doc_id, start, end, removed, first_doc: spans of repeated text; those that aren't the first are removals.
 

@@ -150,3 +150,34 @@ def test_substrings(make, odd, none):
     # paragraphs that reach beyond a passage may have another first document
     assert {x.doc_id for x in got if not x.removed} >= {min(d) for d in holds.values() if len(d) > 1}, "the first one stays"
     assert substring.repeated_spans(none).count() == 0 and substring.repeated_spans(odd).count() == 0
+
+
+def planted(passages, seed=3):
+    """Rows of documents with a passage each between random words; where each passage lies (code points)."""
+    r, rows, at = random.Random(seed), [], []
+    for i, p in enumerate(passages):
+        left, right = (" ".join(f"x{r.randrange(10**6)}" for _ in range(r.randint(0, 60))) for _ in range(2))
+        body = " ".join(p)
+        rows.append((i, f"{left} {body} {right}", "s"))
+        at.append((len(left) + 1, len(left) + 1 + len(body)))
+    return rows, at
+
+
+def covered(spans, doc, a, b, removed=(True, False)):
+    return set(range(a, b)) <= {p for x in spans if x.doc_id == doc and x.removed in removed for p in range(x.start, x.end + 1)}
+
+
+def test_near_paragraphs_of_whole_length(make):
+    r, rows, changed = random.Random(8), [], []
+    word = lambda: f"w{r.randrange(10**6)}"
+    for i in range(40):
+        p = [word() for _ in range(r.choice((44, 60)))]
+        q = list(p)
+        q[r.randrange(15, len(p) - 15)] = "changed"
+        for j, x in enumerate((p, q)):
+            head = " ".join(word() for _ in range(30))
+            changed.append((len(head) + 1, len(head) + 1 + len(" ".join(x))))
+            rows.append((2 * i + j, f"{head}\n{' '.join(x)}\n{' '.join(word() for _ in range(9))}", "s"))
+    got = substring.repeated_spans(make(rows)).collect()
+    assert all(covered(got, d, *changed[d], removed=(d % 2 == 1,)) for d in range(80))
+    assert all((x.start, x.end) == changed[x.doc_id] for x in got)
