@@ -1,20 +1,21 @@
-"""Substring dedup: MinHash banding of paragraphs, verified and clustered.
+"""Substring dedup: exact runs of words by winnowing, and near copies of whole paragraphs.
 
-A paragraph here is a run of 24 words that begins at an anchor, a place where the hash of two words is the
-least of all within 5 places. Anchors depend on the words alone, so a passage has the same paragraphs wherever
-it stands, across line ends too, and any passage of 51 words holds at least one, but for about one in a hundred.
+Exact runs. Every run of 51 words that two documents share is found:
 
-1. Band keys (6 bands of 2 MinHash values of the 5-word shingles) are counted over all texts; a bitmap of
-   fixed size tells which occur in two texts. Its false hits cost time only. Bands of two find a pair of similarity 0.75
-   with probability 0.993, equal paragraphs always.
-2. Paragraphs with a repeated key become rows; equal shingle sets are one class. Classes that share a key are
-   paired (in rounds, as in the n-gram join), their whole sets compared, and linked ones clustered.
-3. In clusters that touch several documents, every paragraph but the first (by doc_id, then place) is a removal.
-   Neighbouring and overlapping paragraphs of a document are joined to spans.
-4. Whole paragraphs (blocks between blank lines, or lines) of similarity 0.75 are linked by the n-gram join as well.
+1. Of the hashes of all 24-word grams, the least of each 28 that follow one another is a seed (the last one of equals).
+   A shared run of 51 words holds 28 grams, so both documents have the same seed in it, in periodic text too. Seeds are
+   counted over all texts; a bitmap of fixed size tells which occur in two. Its false hits cost time only.
+2. Such seeds become rows. Those that several documents hold are repeated; each place but
+   the first (by doc_id, then place) is a removal.
+
+Near copies. Paragraphs are the blocks between blank lines, or the lines of a text without any; neighbours of fewer than
+24 words are taken together. The n-gram join links whole paragraphs of similarity 0.75 (distinct 5-word shingles), and
+in clusters that touch several documents every paragraph but the first is a removal.
+
+Grams and paragraphs that overlap or touch in a document are joined to spans.
 
 Rows: rows without doc_id or text have no paragraphs; rows with equal doc_id are one document, whose equal
-paragraphs are told apart by place alone. Texts of fewer than 24 words have none. Documents without repeats have
+runs are told apart by place alone. Texts of fewer than 24 words have none. Documents without repeats have
 no rows in the result, nor has an empty table. Other columns are ignored.
 """
 
@@ -33,72 +34,73 @@ from pyspark.sql import functions as F
 from quarry.llm import ngram_join
 from quarry.llm.bytewords import U64, Texts, chunks, mix, shingle_hashes
 from quarry.llm.common import cut
-from quarry.llm.components import components
 
-KEY_BITS, TWICE_BITS, WANTED_BITS = ngram_join.KEY_BITS, 28, ngram_join.WANTED_BITS
+KEY_BITS, TWICE_BITS = ngram_join.KEY_BITS, 28
 
 
 @dataclass(frozen=True)
 class Paragraphs:
     words: int = 24
-    reach: int = 5
+    run: int = 51
     shingle: int = 5
-    bands: int = 6
-    rows: int = 2
     percent: int = 75
 
 
-_ODD = (np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.int64).astype(U64) << U64(1)) | U64(1)
+NONE = U64(0xFFFFFFFFFFFFFFFF)
+
+
+def least_of(g: np.ndarray, size: int) -> np.ndarray:
+    """The place of the least of each ``size`` values that follow one another; of equals the last."""
+    at, wide = np.arange(len(g)), 1
+    while wide < size and len(at):
+        step = min(wide, size - wide)
+        a, b = at[:-step], at[step:]
+        at, wide = np.where(g[b] <= g[a], b, a), wide + step
+    return at
 
 
 class Found:
-    """The paragraphs of some texts: text, start and end (code points) of each, its shingles and band keys."""
-
-    def __init__(self, texts: list[bytes], how: Paragraphs, keys: bool = True):
-        t = Texts(texts, lower=True)
-        words = t.hashes()
-        n = len(words)
-        shingles = shingle_hashes(words, how.shingle)
-        two = shingle_hashes(words, 2)
-        least = np.ones(len(two), dtype=bool)
-        for k in range(1, how.reach + 1):
-            least[k:] &= two[k:] < two[:-k]
-            least[:-k] &= two[:-k] <= two[k:]
-        anchors = np.flatnonzero(least[:max(0, n - how.words + 1)])
-        self.text = np.searchsorted(t.first, anchors, side="right") - 1
-        last = t.first + t.counts
-        inside = anchors + how.words <= last[self.text] if len(anchors) else np.zeros(0, dtype=bool)
-        anchors, self.text = anchors[inside], self.text[inside]
-        points = np.concatenate([[0], np.cumsum((t.buf & 0xC0) != 0x80)])
-        base = points[t.at][self.text] if len(anchors) else np.zeros(0, dtype=np.int64)
-        self.start = points[t.starts[anchors]] - base
-        self.end = points[t.ends[anchors + how.words - 1]] - base
-        each = how.words - how.shingle + 1
-        self.shingles = shingles[anchors[:, None] + np.arange(each)[None, :]]
-        self.cls = mix(np.sort(self.shingles, axis=1)).sum(axis=1, dtype=U64).view(np.int64) if len(anchors) else np.zeros(0, dtype=np.int64)
-        if not keys:
+    """The grams of some texts and their seeds: ``grams`` (hash of each place; NONE where a text ends), ``text`` of a
+    place, ``seeds`` (places)."""
+
+    def __init__(self, texts: list[bytes], how: Paragraphs):
+        self.t = t = Texts(texts, lower=True)
+        self.how, self.reach = how, how.run - how.words + 1
+        n = len(t.starts)
+        self.text = np.repeat(np.arange(len(texts)), t.counts)
+        self.grams = np.full(n, NONE, dtype=U64)
+        self.seeds = np.zeros(0, dtype=np.int64)
+        all_grams = shingle_hashes(t.hashes(), how.words)
+        if not len(all_grams):
             return
-        mins = [mix((self.shingles * _ODD[i]) ^ (self.shingles >> U64(31))).min(axis=1) if len(anchors) else np.zeros(0, dtype=U64) for i in range(how.bands * how.rows)]
-        bands = []
-        for b in range(how.bands):
-            k = np.full(len(anchors), b, dtype=U64)
-            for r in range(how.rows):
-                k = mix(k * U64(0x9E3779B97F4A7C15) + mins[b * how.rows + r])
-            bands.append(k)
-        self.keys = np.stack(bands, axis=1)
+        inside = self.text[:len(all_grams)] == self.text[how.words - 1:]
+        self.grams[:len(all_grams)] = np.where(inside, np.minimum(all_grams, NONE - U64(1)), NONE)
+        chosen = np.zeros(n, dtype=bool)
+        chosen[least_of(self.grams, self.reach)] = True
+        for i in np.flatnonzero((t.counts >= how.words) & (t.counts < how.run)).tolist():
+            own = self.grams[t.first[i]:t.first[i] + t.counts[i]]
+            chosen[t.first[i] + len(own) - 1 - int(own[::-1].argmin())] = True
+        self.seeds = np.flatnonzero(chosen & (self.grams != NONE))
+
+    def ranges(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end (code points) of the grams at ``places``."""
+        t = self.t
+        points = np.concatenate([[0], np.cumsum((t.buf & 0xC0) != 0x80)])
+        base = points[t.at][self.text[places]]
+        return points[t.starts[places]] - base, points[t.ends[places + self.how.words - 1]] - base
 
 
 Batches = Iterable[pa.RecordBatch]
 
 
-def _found(batch: pa.RecordBatch, how: Paragraphs, keys: bool = True) -> Iterator[tuple[pa.Array, Found]]:
+def _found(batch: pa.RecordBatch, how: Paragraphs) -> Iterator[tuple[pa.Array, Found]]:
     texts = batch.column(1).cast(pa.binary()).fill_null(b"")
     for a, b in chunks(pc.binary_length(texts).to_numpy(), 1 << 20):
-        yield batch.column(0).slice(a, b - a), Found(texts.slice(a, b - a).to_pylist(), how, keys)
+        yield batch.column(0).slice(a, b - a), Found(texts.slice(a, b - a).to_pylist(), how)
 
 
 def _keys(how: Paragraphs, parts: int, most: int = 1 << 21) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """part, keys: packed band keys by range."""
+    """part, keys: packed seeds by range."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         keys = np.sort(np.concatenate(held) >> U64(64 - KEY_BITS))
@@ -111,9 +113,9 @@ def _keys(how: Paragraphs, parts: int, most: int = 1 << 21) -> Callable[[Batches
         held, size = [], 0
         for batch in batches:
             for _, found in _found(batch, how):
-                # a key counts once in a text: neighbouring paragraphs overlap, and that is no repeat
-                keys = found.keys.ravel()
-                _, one = np.unique(mix(keys ^ mix(np.repeat(found.text, found.keys.shape[1]).astype(U64))), return_index=True)
+                # a key counts once in a text: repeats inside it are none between documents
+                keys = found.grams[found.seeds]
+                _, one = np.unique(mix(keys ^ mix(found.text[found.seeds].astype(U64))), return_index=True)
                 held.append(keys[one])
                 size += len(one)
                 if size >= most:
@@ -141,74 +143,26 @@ def _twice(parts: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     return run
 
 
-def _rows(how: Paragraphs, twice) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """doc_id, start, end, cls, keys of the paragraphs that have a repeated key."""
+def _grams(how: Paragraphs, twice) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """cluster (the gram), doc_id, start, end of the grams near a repeated seed."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(twice.value, dtype=np.uint8)
         for batch in batches:
             for ids, found in _found(batch, how):
-                hit = ngram_join._has(bitmap, TWICE_BITS, found.keys.ravel()).reshape(found.keys.shape).astype(bool)
-                own = np.flatnonzero(hit.any(axis=1))
+                hit = ngram_join._has(bitmap, TWICE_BITS, found.grams[found.seeds]).astype(bool)
+                own = found.seeds[hit]
                 if not len(own):
                     continue
-                counts = hit[own].sum(axis=1)
-                keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(found.keys[own][hit[own]].view(np.int64)))
+                start, end = found.ranges(own)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(found.text[own])), pa.array(found.start[own]), pa.array(found.end[own]), pa.array(found.cls[own]), keys],
-                    names=["doc_id", "start", "end", "cls", "keys"],
+                    [pa.array(found.grams[own].view(np.int64)), ids.take(pa.array(found.text[own])), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))],
+                    names=["cluster", "doc_id", "start", "end"],
                 )
 
     return run
 
 
-def _sets(how: Paragraphs, wanted) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """cls, set of the paragraphs whose class has its bit set. A task tells a class once."""
-
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = np.frombuffer(wanted.value, dtype=np.uint8), set()
-        for batch in batches:
-            for _, found in _found(batch, how, keys=False):
-                hit = np.flatnonzero(ngram_join._has(bitmap, WANTED_BITS, found.cls.view(U64)))
-                hit = [i for i in hit.tolist() if found.cls[i] not in seen]
-                if len(seen) < 1_000_000:
-                    seen.update(found.cls[hit].tolist())
-                if hit:
-                    yield pa.RecordBatch.from_arrays([pa.array(found.cls[hit]), pa.array([s.tobytes() for s in found.shingles[hit]], pa.binary())], names=["cls", "set"])
-
-    return run
-
-
-def _sets_of(pairs: DataFrame, rows: DataFrame, how: Paragraphs) -> DataFrame:
-    """cls, set of the classes in ``pairs``, made again from the texts, which are not shuffled: a bitmap of fixed size
-    tells which classes are wanted at all, a join which of those are."""
-    spark = pairs.sparkSession
-    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    bit = F.shiftrightunsigned("cls", 64 - WANTED_BITS)
-    cells = named.select(bit.alias("bit")).groupBy((F.col("bit").bitwiseAND(~63) / 64).cast("int").alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << WANTED_BITS - 6, dtype="<i8")
-    bitmap[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    made = rows.mapInArrow(_sets(how, spark.sparkContext.broadcast(bitmap.tobytes())), "cls long, set binary")
-    return made.join(named, "cls", "left_semi").dropDuplicates(["cls"])
-
-
-def _verify(percent: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """Links (u, v) among pairs (a, b, set of a, set of b); repeated shingles count once."""
-
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = set(np.frombuffer(a, dtype=U64).tolist()), set(np.frombuffer(b, dtype=U64).tolist())
-                both = len(x & y)
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            kept = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns, names=["u", "v"])
-
-    return run
-
-
 _BLANK, _LINE = re.compile(rb"\n[ \t\r\v\f]*\n"), re.compile(rb"\n")
 
 
@@ -264,14 +218,14 @@ def _several(placed: DataFrame) -> DataFrame:
     return first.where("first.doc_id <> last").select("doc_id", "start", "end", "cluster", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def near_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
     """COLUMNS of each whole paragraph that is equal or similar to one of another document."""
     how, spark = how or Paragraphs(), docs.sparkSession
-    made = _texts(docs).mapInArrow(_paragraphs(how), "doc_id long, start long, end long, text string")
+    made = _rows(docs).mapInArrow(_paragraphs(how), "doc_id long, start long, end long, text string")
     all_of = cut(made.select(F.monotonically_increasing_id().alias("id"), "*"))
     signed, classes, comps = ngram_join.link_classes(spark, all_of.select(F.col("id").alias("doc_id"), "text"), ngram_join.Jaccard(how.shingle, how.percent))
     named = classes.select("cls").join(comps.select(F.col("node").alias("cls"), "label"), "cls", "left")
@@ -280,10 +234,9 @@ def near_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame
     return _several(all_of.select("id", "doc_id", "start", "end").join(ids, "id").drop("id"))
 
 
-def repeated_windows(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
-    """doc_id, start, end, cluster, first_doc, first_start: each paragraph of a cluster that touches several documents."""
-    how, spark = how or Paragraphs(), docs.sparkSession
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def repeated_runs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
+    """COLUMNS of each gram that several documents hold, near a repeated seed; a cluster is a gram."""
+    how, spark, rows = how or Paragraphs(), docs.sparkSession, _rows(docs)
     parts = 1 << max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     counted = rows.mapInArrow(_keys(how, parts), "part int, keys binary").repartition(parts, "part").mapInArrow(_twice(parts), "part int, bits binary").toArrow()
     step = (1 << TWICE_BITS) // parts // 8
@@ -291,43 +244,12 @@ def repeated_windows(docs: DataFrame, how: Paragraphs | None = None) -> DataFram
     for part, bits in zip(counted.column("part").to_pylist(), counted.column("bits").to_pylist()):
         whole[part * step:(part + 1) * step] = bits
     twice = spark.sparkContext.broadcast(bytes(whole))  # 32 MB whatever the input
-
-    found = cut(rows.mapInArrow(_rows(how, twice), "doc_id long, start long, end long, cls long, keys array<long>"))
-    # keys of one class are the same wherever it occurs
-    classes = cut(found.groupBy("cls").agg(
-        F.count(F.lit(1)).alias("places"), F.first("keys").alias("keys"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
-    lists = classes.select(F.explode("keys").alias("token"), "cls", "lo", "hi").repartition("token").dropDuplicates(["token", "cls"])
-    of = Window.partitionBy("token")
-    lists = lists.select("token", "cls", F.count(F.lit(1)).over(of).alias("c"), F.min("lo").over(of).alias("lo"), F.max("hi").over(of).alias("hi"))
-    # only keys that several documents hold; overlapping paragraphs of one document share keys too
-    lists = lists.where("c > 1 and lo <> hi")
-    lists = cut(lists.select("token", "cls", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("ell")))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        sets = cut(_sets_of(pairs, rows, how))
-        one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a")
-        two = one.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-        return cut(two.select("a", "b", "set_a", "set_b").mapInArrow(_verify(how.percent), "u long, v long"))
-
-    first = cut(ngram_join._neighbours(ngram_join._with_components(lists, None), 2, how.percent))
-    comps = cut(components(linked(first)))
-    rest = ngram_join._all_pairs(ngram_join._with_components(lists, comps), first, how.percent)
-    rest = cut(rest)
-    edges = comps.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(linked(rest))
-    labels = components(edges).select(F.col("node").alias("cls"), "label")
-    # a paragraph that stands alone in its class and has no link is left out
-    named = classes.select("cls", "places").join(labels, "cls", "left").where("places > 1 or label is not null")
-    named = cut(named.select("cls", F.coalesce("label", "cls").alias("cluster")))
-    placed = found.select("doc_id", "start", "end", "cls").join(named, "cls").drop("cls")
-    clusters = placed.groupBy("cluster").agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")
-    ).where("first.doc_id <> last").select(F.col("cluster").alias("__cluster"), F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
-    return placed.join(cut(clusters), F.col("cluster") == F.col("__cluster")).select("doc_id", "start", "end", "cluster", "first_doc", "first_start")
+    return _several(rows.mapInArrow(_grams(how, twice), "cluster long, doc_id long, start long, end long"))
 
 
 def repeated_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
-    """COLUMNS of repeated windows and near paragraphs."""
-    return repeated_windows(docs, how).unionByName(near_paragraphs(docs, how))
+    """COLUMNS of repeated runs and near paragraphs."""
+    return repeated_runs(docs, how).unionByName(near_paragraphs(docs, how))
 
 
 def repeated_spans(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:

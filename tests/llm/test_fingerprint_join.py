@@ -181,3 +181,13 @@ def test_near_paragraphs_of_whole_length(make):
     got = substring.repeated_spans(make(rows)).collect()
     assert all(covered(got, d, *changed[d], removed=(d % 2 == 1,)) for d in range(80))
     assert all((x.start, x.end) == changed[x.doc_id] for x in got)
+
+
+def test_periodic_passages(make):
+    r, passages = random.Random(9), []
+    for period in (1, 2, 3, 4, 5, 6, 11) * 5:
+        unit = [f"p{r.randrange(10**6)}" for _ in range(period)]
+        passages += [[unit[k % period] for k in range(60)]] * 2
+    rows, at = planted(passages)
+    got = substring.repeated_spans(make(rows)).collect()
+    assert {x.doc_id for x in got} == set(range(len(rows)))
