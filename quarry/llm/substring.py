@@ -1,12 +1,12 @@
 """Substring dedup: exact runs of words by winnowing, and near copies of whole paragraphs.
 
-Exact runs. Every run of 51 words that two documents share is found:
+Exact runs. Every run of 51 words that two documents share is found, and so is every word of it:
 
 1. Of the hashes of all 24-word grams, the least of each 28 that follow one another is a seed (the last one of equals).
    A shared run of 51 words holds 28 grams, so both documents have the same seed in it, in periodic text too. Seeds are
    counted over all texts; a bitmap of fixed size tells which occur in two. Its false hits cost time only.
-2. Such seeds become rows. Those that several documents hold are repeated; each place but
-   the first (by doc_id, then place) is a removal.
+2. All grams within 27 places of such a seed become rows. Those that several documents hold are repeated; each place but
+   the first (by doc_id, then place) is a removal. A run is thus covered up to its last equal word, whoever shares it.
 
 Near copies. Paragraphs are the blocks between blank lines, or the lines of a text without any; neighbours of fewer than
 24 words are taken together. The n-gram join links whole paragraphs of similarity 0.75 (distinct 5-word shingles), and
@@ -82,6 +82,13 @@ class Found:
             chosen[t.first[i] + len(own) - 1 - int(own[::-1].argmin())] = True
         self.seeds = np.flatnonzero(chosen & (self.grams != NONE))
 
+    def near(self, seeds: np.ndarray) -> np.ndarray:
+        """Places of the grams that a run can hold together with one of ``seeds``."""
+        steps = np.zeros(len(self.grams) + 1, dtype=np.int64)
+        np.add.at(steps, np.maximum(seeds - self.reach + 1, 0), 1)
+        np.add.at(steps, np.minimum(seeds + self.reach, len(self.grams)), -1)
+        return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & (self.grams != NONE))
+
     def ranges(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end (code points) of the grams at ``places``."""
         t = self.t
@@ -151,7 +158,7 @@ def _grams(how: Paragraphs, twice) -> Callable[[Batches], Iterator[pa.RecordBatc
         for batch in batches:
             for ids, found in _found(batch, how):
                 hit = ngram_join._has(bitmap, TWICE_BITS, found.grams[found.seeds]).astype(bool)
-                own = found.seeds[hit]
+                own = found.near(found.seeds[hit])
                 if not len(own):
                     continue
                 start, end = found.ranges(own)

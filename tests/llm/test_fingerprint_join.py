@@ -191,3 +191,16 @@ def test_periodic_passages(make):
     rows, at = planted(passages)
     got = substring.repeated_spans(make(rows)).collect()
     assert {x.doc_id for x in got} == set(range(len(rows)))
+
+
+@pytest.mark.parametrize("length", [51, 100])
+def test_runs_are_covered_to_their_borders(make, length):
+    r, passages = random.Random(length), []
+    for i in range(40):
+        unit = [f"p{r.randrange(10**6)}" for _ in range(length if i % 4 else 1 + i // 8)]
+        passages += [[unit[k % len(unit)] for k in range(length)]] * 2
+    rows, at = planted(passages)
+    got = substring.repeated_spans(make(rows)).collect()
+    for d in range(len(rows)):
+        assert covered(got, d, *at[d])
+    assert all((x.start, x.end) == at[x.doc_id] for x in got if x.doc_id % 2)
