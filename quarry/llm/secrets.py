@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a character convolutional network over every further candidate.
 
-A candidate is a run of key-like characters, 16 at least, with a digit. The network reads the whole
+A candidate is a run of key-like characters, or what the patterns leave of one, 16 at least. The network reads the whole
 candidate and its surroundings. It is trained in numpy on labelled findings (made from a seed: keys of many
 forms, and things that look like keys and are none), its scores are calibrated on findings held out from
 training, and the threshold of each form is the highest that keeps a given recall there. What it accepts is
@@ -30,7 +30,6 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.@:-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
 _NAMES = ("password", "passwd", "secret", "token", "api")
 
 Span = tuple[str, int, int]
@@ -54,17 +53,26 @@ def in_order(spans: Iterable[Span]) -> list[Span]:
 
 
 def candidates(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """Key-like runs that no span touches."""
-    if not any(len(w) >= 16 and _DIGIT.search(w) for w in text.split()):
+    """What the spans leave of key-like runs, without the signs that part it from them: 16 characters at least."""
+    if not any(len(w) >= 16 for w in text.split()):
         return []
-    taken = np.array([(s, e) for _, s, e in spans], dtype=np.int64).reshape(-1, 2)
-    found = [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
-    return [(a, b) for a, b in found if not ((taken[:, 0] < b) & (taken[:, 1] > a)).any()]
+    taken = sorted((a, b) for _, a, b in spans)
+    out = []
+    for m in _CANDIDATE.finditer(text):
+        at, end = m.span()
+        for a, b in [*(x for x in taken if x[0] < end and x[1] > at), (end, end)]:
+            if a - at >= 16:
+                out.append((at, a))
+            at = max(at, b)
+            while b < end and at < end and text[at] in ":@=":
+                at += 1
+    return out
 
 
 # --- labelled findings ---------------------------------------------------------------------------------
 
 _SYLLABLES = ("an er in on th re st en at or ti es nd to it is ar te al he ou le se me de ve co ra ro li ha ne ma lo ca di".split())
+_CLUSTERS = "sch ung keit lich zu be ver ge tz pf cht str ich ein heit schaft zeug ght ough ness tion ment eux".split()
 
 
 class _Maker:
@@ -79,6 +87,13 @@ class _Maker:
     def word(self) -> str:
         return "".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 4)))
 
+    def long_word(self) -> str:
+        """Letters alone, 16 at least, as in compounds."""
+        out = ""
+        while len(out) < 16:
+            out += self.r.choice(_SYLLABLES + 2 * _CLUSTERS)
+        return self.r.choice((out, out, out.capitalize(), out.upper()))
+
     def words(self, n: int) -> str:
         return " ".join(self.word() for _ in range(n))
 
@@ -113,6 +128,13 @@ class _Maker:
             lambda: f"{d(3, 3)}-{d(3, 3)}-{d(4, 4)}-{d(4, 6)}",
             lambda: f"v{d(1, 1)}.{d(1, 2)}.{d(1, 2)}-{w()}.{w()}.{d(1, 3)}",
             lambda: f"{w().capitalize()}{w().capitalize()}{w().capitalize()}{w().capitalize()}{d(1, 2)}",
+            lambda: r.choice(("", "-", "_", ".", "/")).join(w() for _ in range(r.randint(4, 7))),
+            lambda: "".join(w().capitalize() for _ in range(r.randint(4, 6))),
+            self.long_word,
+            self.long_word,
+            lambda: f"{w()}.{w()}@{w()}.{r.choice(('com', 'org', 'example.com'))}",
+            lambda: f"https://www.{w()}{w()}.com/{w()}/{w()}-{w()}.html",
+            lambda: r.choice("=-.") * r.randint(16, 60),
         ))()
 
     def finding(self) -> tuple[str, str, str, int]:
@@ -253,9 +275,10 @@ def train(seed: int = 7, examples: int = 4000, epochs: int = 6, recall: float =
     forms = np.array([form_of(x[1]) for x in held])
     limits = []
     for k in range(len(FORMS)):
-        true = np.sort(scores[(forms == k) & (y == 1)])
-        # the highest threshold at which this share is still found; never below even odds
-        limits.append(max(0.5, float(true[int((1 - recall) * len(true))]) if len(true) else 0.5))
+        own = (forms == k) & (y == 1)
+        # the highest threshold at which this share is still found; a form without keys takes that of all keys
+        true = np.sort(scores[own if own.any() else y == 1])
+        limits.append(float(true[int((1 - recall) * len(true))]))
     return Scanner(p, slope, offset, tuple(limits))
 
 
