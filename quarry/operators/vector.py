@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +65,73 @@ def topk_cells(cells: Cells, query: Sequence[float], k: int, nprobe: int = 64, v
     far = [sum((a - b) ** 2 for a, b in zip(c, unit)) for c in cells.centroids]
     probed = sorted(range(len(far)), key=lambda i: (far[i], i))[:nprobe]
     return topk(cells.vectors.where(F.col("cell").isin(probed)), query, k, vec, key)
+
+
+def _units(rows: Iterable) -> np.ndarray:
+    m = np.array([np.asarray(r, dtype=float) for r in rows])
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=m, where=norm > 0)
+
+
+def _nearness(centroids: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Cells of each vector, the nearest first."""
+    return np.argsort((centroids * centroids).sum(axis=1) - 2 * units @ centroids.T, axis=1, kind="stable")
+
+
+def _best(vectors: DataFrame, queries: DataFrame, on: list[str], k: int, vec: str, key: str) -> DataFrame:
+    """query_id, rank, doc_id, score: the best of each query over the rows with equal ``on``, by blocks of queries."""
+
+    def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(v) and len(q):
+            v = v.sort_values(key)
+            ids, units, asked = v[key].to_numpy(), _units(v[vec]), q["query_id"].to_numpy()
+            for a in range(0, len(q), 256):
+                scores = np.round(_units(q["query_vector"].iloc[a:a + 256]) @ units.T, 6)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"query_id": np.repeat(asked[a:a + 256], best.shape[1]), "doc_id": ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+
+    found = vectors.groupBy(*on).cogroup(queries.groupBy(*on)).applyInPandas(run, "query_id long, doc_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+SLICE = 20_000
+
+
+def _sliced(vectors: DataFrame, queries: DataFrame, n: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both with a slice: each vector is in one, each query in all, so a group has a bounded number of vectors."""
+    slices = max(1, -(-n // SLICE))
+    return vectors.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices))), queries.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """query_id, rank, doc_id, score: exact, for each row (query_id, query_vector)."""
+    v, q = _sliced(vectors.select(key, vec), queries, vectors.count(), key)
+    return _best(v, q, ["slice"], k, vec, key)
+
+
+def neighbours_cells(cells: Cells, queries: DataFrame, k: int, recall: float = 0.95, sample: int = 64, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """As ``neighbours``, over as many of the nearest cells as hold ``recall`` of the exact neighbours of ``sample`` queries."""
+    centroids = np.array(cells.centroids)
+    tried = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample).toPandas()  # a few queries
+    nprobe = len(centroids)
+    if len(tried):
+        some = queries.sparkSession.createDataFrame(tried, queries.schema)
+        exact = neighbours(cells.vectors, some, k, vec, key)
+        held = exact.join(cells.vectors.select(F.col(key).alias("doc_id"), "cell"), "doc_id").select("query_id", "cell").toPandas()
+        order = dict(zip(tried["query_id"], np.argsort(_nearness(centroids, _units(tried["query_vector"])), axis=1)))
+        at = np.sort([order[q][c] for q, c in zip(held["query_id"], held["cell"])])
+        nprobe = int(at[max(0, int(np.ceil(recall * len(at))) - 1)]) + 1
+
+    def probes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                near = _nearness(centroids, _units(b["query_vector"]))[:, :nprobe]
+                yield b.loc[b.index.repeat(nprobe)].assign(cell=near.ravel().astype(np.int32))
+
+    asked = queries.select("query_id", "query_vector").mapInPandas(probes, "query_id long, query_vector array<double>, cell int")
+    most = cells.vectors.groupBy("cell").count().agg(F.max("count")).first()[0] or 1
+    v, q = _sliced(cells.vectors.select(key, vec, "cell"), asked, most, key)
+    return _best(v, q, ["cell", "slice"], k, vec, key)

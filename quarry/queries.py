@@ -427,9 +427,10 @@ def l2_normalize(spark, d):
 
 @add()
 def ivf_topk(spark, d):
-    """Approximate: tests hold it against the exact list."""
-    cells = vector.build(table(spark, d, "embeddings").select("vec_id", "embedding"), nlist=12)
-    return vector.topk_cells(cells, VECTOR, 10, nprobe=6)
+    """The neighbours of each vector whose id is divisible by 50. Approximate: tests hold it against the exact list."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vector"))
+    return vector.neighbours_cells(vector.build(e), asked, 10)
 
 
 def fused_sql(q: str, pool: int, k: int, alpha: float = 0.65) -> str:

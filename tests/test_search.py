@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quarry.operators import bm25, cleaning, evaluate, fusion, index, results, vector
 from quarry.plans.engine import SearchEngine
 
@@ -169,3 +171,19 @@ def test_winners(spark):
     p = spark.createDataFrame([(1, "bm25", 0.5), (1, "vector", 0.5), (1, "hybrid", 0.5), (2, "bm25", 0.1), (2, "vector", 0.9), (3, "hybrid", 1.0)], "qid int, engine string, precision double")
     got = {r.qid: (r.winner, r.hybrid_ok) for r in evaluate.winners(p).collect()}
     assert got == {1: ("all", True), 2: ("vector", False), 3: ("hybrid", True)}
+
+
+def test_ivf_topk_holds_recall_for_every_query(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    all_of = {r.vec_id: np.array(r.embedding, float) for r in e.collect()}
+    ids = sorted(all_of)
+    units = np.array([all_of[i] / (np.linalg.norm(all_of[i]) or 1) for i in ids])
+    asked, got = [i for i in ids if i % 50 == 0], {}
+    for r in entry.queries()["ivf_topk"](spark, sf_dir).collect():
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    assert set(got) == set(asked)
+    hits = 0
+    for q in asked:
+        scores = np.round(units @ units[ids.index(q)], 6)
+        hits += len(got[q] & {ids[j] for j in sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:10]})
+    assert hits >= 0.9 * 10 * len(asked)
