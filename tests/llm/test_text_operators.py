@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from fixtures import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,6 +158,29 @@ def test_sampling_follows_the_lattice():
     assert abs(first[a] / n - pa) < 0.05 and abs(both[a, b] / n - pa * pb / (1 - pa)) < 0.05
 
 
+def test_all_segmentations_come_out():
+    """k of k, whatever the seed: ten words and short texts, every segmentation with its probability."""
+    lattice = pieces.lattice_of(SP)
+    for text in ["a", "zq", "the", "of", "word", "cat", "hello", "being", "x1", "qzx", "the of and in", "hello world"]:
+        want = segmentations(lattice, text)
+        for seed in (0, 5, pieces.NO_ID):
+            found = pieces.sample_segmentations(lattice, [text], np.array([seed]), 64)[0]
+            names = [tuple(lattice.sp.id_to_piece(int(i)) for i in ids) for ids, _, _ in found]
+            assert len(names) == len(set(names)) == min(64, len(want)), (text, seed)
+            assert [want[n] for n in names] == pytest.approx([log for _, log, _ in found], abs=1e-9)
+            assert all(s == 0 for _, _, s in found) == (len(want) <= 64), "all are in: each is included for certain"
+
+
+def test_samples_do_not_depend_on_neighbours():
+    lattice, texts = pieces.lattice_of(SP), ["the cat", "", "hello wörld \U0001F600", " two  spaces ", "the cat"]
+    alone = [pieces.sample_segmentations(lattice, [t], np.array([i]), 5)[0] for i, t in enumerate(texts)]
+    together = pieces.sample_segmentations(lattice, texts, np.arange(5), 5)
+    for a, b in zip(alone, together):
+        assert [(x[0].tolist(), x[1:]) for x in a] == [(x[0].tolist(), pytest.approx(x[1:])) for x in b]
+    first = [pieces.sample_segmentations(lattice, ["the"], np.array([s]), 1)[0][0][1] for s in (0, pieces.NO_ID)]
+    assert min(first) > -5, "seed 0 is a seed as any other"
+
+
 def test_pieces(spark, odd, none):
     rows = table(spark, SMALL, "documents").limit(40).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     texts = [(r.doc_id, r.text or "") for r in rows.collect()]
