@@ -26,10 +26,11 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def mix(h: np.ndarray) -> np.ndarray:
     """Bits of ``h`` spread over all of it (a bijection)."""
     h = h ^ (h >> U64(32))
-    h = h * U64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> U64(32))
-    h = h * U64(0xD6E8FEB86659FD93)
-    return h ^ (h >> U64(32))
+    h *= U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(32)
+    h *= U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(32)
+    return h
 
 
 _powers: list[np.ndarray] = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
