@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import delete, fresh_path, shared_dir
+
+__all__ = ["SPACES", "WORDS", "cut", "delete", "forget", "fresh_path", "let", "n_words_of", "shared_dir", "table", "unit_hash", "words_of"]
+
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -17,32 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests, one machine), a temporary folder is set and kept.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: a short lineage that outlives executors."""
     path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes what ``cut`` wrote, once nothing reads it any more."""
+    for df in tables:
+        if df is not None:
+            delete(df.sparkSession, df._cut_path)
 
 
 def let(value: Column, body) -> Column:
@@ -63,10 +52,3 @@ def n_words_of(text: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A double in [0, 1) that depends on the values of ``cols`` alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
-
-
-def fill_in(text: str, **values: object) -> str:
-    """``text`` with each ``{{name}}`` replaced."""
-    for k, v in values.items():
-        text = text.replace("{{" + k + "}}", str(v))
-    return text

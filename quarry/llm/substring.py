@@ -1,52 +1,77 @@
-"""Substring dedup: exact runs of words by winnowing, and near copies of whole paragraphs.
+"""Substring dedup: MinHash banding over paragraphs, and exact runs of words that lie anywhere in a text.
 
-Exact runs. Every run of 51 words that two documents share is found, and so is every word of it:
+Paragraphs. The blocks between blank lines, or the lines of a text without any; neighbours of fewer than 51 words are
+taken together until they have as many. Each has a MinHash signature over its 5-word shingles, cut into bands; ``tuned``
+chooses bands and rows so that a pair of similarity 0.75 shares a band with a probability of 0.99 at least. Paragraphs
+that collide in a band are joined, exact Jaccard similarities of whole shingle sets are computed, and components of the
+links (0.75 or more) are clusters. In clusters that touch several documents every paragraph but the first is a removal.
 
-1. Of the hashes of all 24-word grams, the least of each 28 that follow one another is a seed (the last one of equals).
-   A shared run of 51 words holds 28 grams, so both documents have the same seed in it, in periodic text too. Seeds are
-   counted over all texts; a bitmap of fixed size tells which occur in two. Its false hits cost time only.
-2. All grams within 27 places of such a seed become rows. Those that several documents hold are repeated; each place but
-   the first (by doc_id, then place) is a removal. A run is thus covered up to its last equal word, whoever shares it.
+Runs. A passage may begin and end inside paragraphs that differ otherwise. Every run of 51 words that two documents
+share is found, and so is every word of it:
 
-Near copies. Paragraphs are the blocks between blank lines, or the lines of a text without any; neighbours of fewer than
-24 words are taken together. The n-gram join links whole paragraphs of similarity 0.75 (distinct 5-word shingles), and
-in clusters that touch several documents every paragraph but the first is a removal.
+1. Of the hashes of the 40-word grams of a text, the least of each 12 that follow one another is a seed (the last one of
+   equals), so seeds depend on the text alone and touch each other. A shared run of 51 words holds 12 grams, so
+   both documents have the same seed in it, in periodic text too.
+2. Seeds that several documents hold are repeated. Where all documents with a seed agree on the seed before it and on its
+   distance, the run goes on to that one. Where they don't, or the text begins, the run ends somewhere before the next
+   common seed: there all of them show the 11 grams that could still belong to it (likewise after a seed), and
+   those that several documents show are repeated.
 
-Grams and paragraphs that overlap or touch in a document are joined to spans.
+Each place of a repeated gram but the first (by doc_id, then place) is a removal. Grams and paragraphs that overlap or
+touch in a document are joined to spans; spans of fewer than 51 words are left out.
 
 Rows: rows without doc_id or text have no paragraphs; rows with equal doc_id are one document, whose equal
-runs are told apart by place alone. Texts of fewer than 24 words have none. Documents without repeats have
+runs are told apart by place alone. Texts of fewer than 40 words have none. Documents without repeats have
 no rows in the result, nor has an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm import ngram_join
-from quarry.llm.bytewords import U64, Texts, chunks, mix, shingle_hashes
-from quarry.llm.common import cut
+from quarry.llm import keycounts, ngram_join
+from quarry.llm.bytewords import U64, Texts, chunks, mix, powers, shingle_hashes
+from quarry.llm.common import cut, forget
 
-KEY_BITS, TWICE_BITS = ngram_join.KEY_BITS, 28
+
+def tuned(percent: int, recall: float, most: int = 10) -> tuple[int, int]:
+    """Bands and rows of a band. Of all with ``most`` bands or fewer that let a pair of this similarity collide with this
+    probability, those with the most rows, as they let other pairs collide least."""
+    found = [(math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows)), rows) for rows in range(1, 17)]
+    return max((x for x in found if x[0] <= most), key=lambda x: x[1])
 
 
 @dataclass(frozen=True)
 class Paragraphs:
-    words: int = 24
+    """run: words of a passage; words: words of a gram; shingle, percent: similarity of paragraphs; recall: of banding."""
+
     run: int = 51
+    words: int = 40
     shingle: int = 5
     percent: int = 75
+    recall: float = 0.99
+
+    @property
+    def reach(self) -> int:
+        return self.run - self.words + 1
+
+    @property
+    def bands(self) -> tuple[int, int]:
+        return tuned(self.percent, self.recall)
 
 
 NONE = U64(0xFFFFFFFFFFFFFFFF)
+_P, _Q = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
 
 def least_of(g: np.ndarray, size: int) -> np.ndarray:
@@ -60,216 +85,349 @@ def least_of(g: np.ndarray, size: int) -> np.ndarray:
 
 
 class Found:
-    """The grams of some texts and their seeds: ``grams`` (hash of each place; NONE where a text ends), ``text`` of a
-    place, ``seeds`` (places)."""
+    """The words of some texts, the hash of the gram at each word (NONE where the text ends too soon), the number of the
+    text of each word, and the first word of each text."""
 
     def __init__(self, texts: list[bytes], how: Paragraphs):
-        self.t = t = Texts(texts, lower=True)
-        self.how, self.reach = how, how.run - how.words + 1
-        n = len(t.starts)
-        self.text = np.repeat(np.arange(len(texts)), t.counts)
-        self.grams = np.full(n, NONE, dtype=U64)
-        self.seeds = np.zeros(0, dtype=np.int64)
-        all_grams = shingle_hashes(t.hashes(), how.words)
-        if not len(all_grams):
-            return
-        inside = self.text[:len(all_grams)] == self.text[how.words - 1:]
-        self.grams[:len(all_grams)] = np.where(inside, np.minimum(all_grams, NONE - U64(1)), NONE)
-        chosen = np.zeros(n, dtype=bool)
-        chosen[least_of(self.grams, self.reach)] = True
-        for i in np.flatnonzero((t.counts >= how.words) & (t.counts < how.run)).tolist():
-            own = self.grams[t.first[i]:t.first[i] + t.counts[i]]
-            chosen[t.first[i] + len(own) - 1 - int(own[::-1].argmin())] = True
-        self.seeds = np.flatnonzero(chosen & (self.grams != NONE))
-
-    def near(self, seeds: np.ndarray) -> np.ndarray:
-        """Places of the grams that a run can hold together with one of ``seeds``."""
-        steps = np.zeros(len(self.grams) + 1, dtype=np.int64)
-        np.add.at(steps, np.maximum(seeds - self.reach + 1, 0), 1)
-        np.add.at(steps, np.minimum(seeds + self.reach, len(self.grams)), -1)
-        return np.flatnonzero((np.cumsum(steps[:-1]) > 0) & (self.grams != NONE))
-
-    def ranges(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end (code points) of the grams at ``places``."""
-        t = self.t
-        points = np.concatenate([[0], np.cumsum((t.buf & 0xC0) != 0x80)])
-        base = points[t.at][self.text[places]]
-        return points[t.starts[places]] - base, points[t.ends[places + self.how.words - 1]] - base
+        self.t, self.how = Texts(texts, lower=True), how
+        self.hashes, self.first = self.t.hashes(), self.t.first
+        self.text = np.repeat(np.arange(len(texts)), self.t.counts)
+        n = len(self.hashes)
+        self.grams, k = np.full(n, NONE, dtype=U64), n - how.words + 1
+        if k > 0:
+            up, down = powers(n + 1)
+            sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(self.hashes * up[:n], dtype=U64)])
+            inside = self.text[:k] == self.text[how.words - 1:]
+            self.grams[:k] = np.where(inside, np.minimum(mix((sums[how.words:] - sums[:k]) * down[:k]), NONE - U64(1)), NONE)
+
+    def seeds(self) -> np.ndarray:
+        """Places of the seeds. Only windows of grams of one text choose, so no other text has a say."""
+        reach, chosen = self.how.reach, np.zeros(len(self.grams), dtype=bool)
+        if len(self.grams) >= reach:
+            last = slice(reach - 1, None)
+            full = (self.grams[last] != NONE) & (self.text[last] == self.text[:len(self.grams) - reach + 1])
+            chosen[least_of(self.grams, reach)[full]] = True
+        grams = self.t.counts - self.how.words + 1
+        for i in np.flatnonzero((grams > 0) & (grams < reach)).tolist():
+            own = self.grams[self.first[i]:self.first[i] + grams[i]]
+            chosen[self.first[i] + len(own) - 1 - int(own[::-1].argmin())] = True
+        return np.flatnonzero(chosen)
+
+    def points(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start of the words ``first`` and end of the words ``last`` in their texts, in code points."""
+        points = np.concatenate([[0], np.cumsum((self.t.buf & 0xC0) != 0x80)])
+        base = points[self.t.at][self.text[first]]
+        return points[self.t.starts[first]] - base, points[self.t.ends[last]] - base
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and end of each paragraph."""
+        n = len(self.hashes)
+        if not n:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        lines = np.diff(np.searchsorted(np.flatnonzero(self.t.buf == 10), self.t.starts), prepend=0)  # line feeds before each word
+        begins = np.diff(self.text, prepend=-1) != 0
+        blank = np.zeros(len(self.t.counts), dtype=bool)
+        blank[self.text[~begins & (lines >= 2)]] = True
+        piece = np.flatnonzero(begins | (lines >= np.where(blank[self.text], 2, 1)))
+        sizes = np.diff(np.append(piece, n))
+        out, held, at, before = [], 0, 0, -1
+        for a, size, text in zip(piece.tolist(), sizes.tolist(), self.text[piece].tolist()):
+            if text != before:
+                held, before = 0, text
+            if size >= self.how.run or not held:
+                at, held = a, 0
+            held += size
+            if held >= self.how.run:
+                out.append((at, a + size))
+                held = 0
+        return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+
+    def signatures(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers that name the shingles of each paragraph, and the keys of its bands (a row for each)."""
+        bands, rows = self.how.bands
+        if not len(start):
+            return np.zeros((0, 2), dtype=U64), np.zeros((0, bands), dtype=U64)
+        s = np.append(shingle_hashes(self.hashes, self.how.shingle), U64(0))
+        ranges = np.stack([start, end - self.how.shingle + 1], axis=1).ravel()
+        of = lambda f, x: f.reduceat(x, ranges)[::2]
+        named = np.stack([of(np.add, mix(s)), of(np.add, mix(s ^ _Q))], axis=1)
+        keys = np.zeros((len(start), bands), dtype=U64)
+        for b in range(bands):
+            for r in range(rows):
+                k = b * rows + r
+                turn, odd = mix(np.array([2 * k + 1, 2 * k + 2], dtype=U64))
+                keys[:, b] = mix((keys[:, b] + of(np.minimum, (s ^ turn) * (odd | U64(1)))) * _P + U64(k + 1))
+        return named, keys
 
 
 Batches = Iterable[pa.RecordBatch]
 
 
-def _found(batch: pa.RecordBatch, how: Paragraphs) -> Iterator[tuple[pa.Array, Found]]:
+def _found(batch: pa.RecordBatch, how: Paragraphs) -> Iterator[tuple[slice, Found]]:
     texts = batch.column(1).cast(pa.binary()).fill_null(b"")
     for a, b in chunks(pc.binary_length(texts).to_numpy(), 1 << 20):
-        yield batch.column(0).slice(a, b - a), Found(texts.slice(a, b - a).to_pylist(), how)
+        yield slice(a, b), Found(texts.slice(a, b - a).to_pylist(), how)
 
 
-def _keys(how: Paragraphs, parts: int, most: int = 1 << 21) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """part, keys: packed seeds by range."""
+#: What is told of some texts together: arrays as bytes. Of seeds: doc (number in docs), gram, word. Of paragraphs: doc,
+#: two names, first word, end, first and last code point, bands. base: the number of the first paragraph.
+_ARRAYS = {"docs": "<i8", "seed_doc": "<i4", "seed": "<u8", "seed_at": "<i4", "para_doc": "<i4", "para_name": "<u8", "para_at": "<i4", "bands": "<u8"}
+CHUNK = "seeds long, paras long, base long, " + ", ".join(f"{c} binary" for c in _ARRAYS)
 
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(held) >> U64(64 - KEY_BITS))
-        at = np.searchsorted(keys, np.arange(parts + 1, dtype=U64) * U64((1 << KEY_BITS) // parts))
-        full = np.flatnonzero(np.diff(at))
-        blobs = [(keys[at[p]:at[p + 1]] >> U64(8)).astype("<u4").tobytes() + keys[at[p]:at[p + 1]].astype(np.uint8).tobytes() for p in full]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "keys"])
 
+def _chunks(how: Paragraphs) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        base = TaskContext.get().partitionId() << 36  # the rows are written once, and numbers stay
         for batch in batches:
-            for _, found in _found(batch, how):
-                # a key counts once in a text: repeats inside it are none between documents
-                keys = found.grams[found.seeds]
-                _, one = np.unique(mix(keys ^ mix(found.text[found.seeds].astype(U64))), return_index=True)
-                held.append(keys[one])
-                size += len(one)
-                if size >= most:
-                    yield packed(held)
-                    held, size = [], 0
-        if size:
-            yield packed(held)
+            ids = batch.column(0).to_numpy()
+            for rows, found in _found(batch, how):
+                seeds = found.seeds()
+                start, end = found.paragraphs()
+                named, bands = found.signatures(start, end)
+                doc = found.text[start] if len(start) else start
+                first = found.first[doc] if len(start) else start
+                points = found.points(start, end - 1) if len(start) else (start, start)
+                arrays = (ids[rows], found.text[seeds], found.grams[seeds], seeds - found.first[found.text[seeds]], doc, named, np.stack([start - first, end - first, *points], axis=1), bands)
+                blobs = [np.ascontiguousarray(x, dtype=kind).tobytes() for x, kind in zip(arrays, _ARRAYS.values())]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(seeds), len(start), base, *blobs)], names=[c.split()[0] for c in CHUNK.split(", ")])
+                base += len(start)
 
     return run
 
 
-def _twice(parts: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+def _arrays(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+    """The arrays of each row of a batch with some of the columns of CHUNK."""
+    names = batch.schema.names
+    for row in zip(*(c.to_pylist() for c in batch.columns)):
+        yield {c: np.frombuffer(x, dtype=_ARRAYS[c]) if c in _ARRAYS else x for c, x in zip(names, row)}
+
+
+def _seed_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for x in _arrays(batch):
+        # a key counts once in a text: repeats inside it are none between documents
+        _, one = np.unique(mix(x["seed"] ^ mix(x["seed_doc"].astype(U64))), return_index=True)
+        yield x["seed"][one].astype(U64)
+
+
+def _band_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for x in _arrays(batch):
+        yield x["bands"].astype(U64)
+
+
+def _repeated(chunked: DataFrame, count: str, columns: list[str], keys_of, each: int = 1) -> tuple[object, int]:
+    """The broadcast bitmap of the keys that occur twice, and its width."""
+    n = each * int(chunked.agg(F.sum(count)).first()[0] or 0)
+    parts, width = keycounts.parts_for(n), keycounts.bits_for(n)
+    bitmap = keycounts.twice(chunked.select(*columns).mapInArrow(keycounts.packing(keys_of, parts), keycounts.PACKED), parts, width)
+    return chunked.sparkSession.sparkContext.broadcast(bitmap), width
+
+
+#: Seeds that may be repeated: key, the seeds before and after and their distances (0: the text's edge).
+SEED = "key long, doc_id long, w0 int, before long, after long"
+
+
+def _seed_rows(repeated, width: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        bitmap = np.frombuffer(repeated.value, dtype=np.uint8)
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(blob) // 5
-                held.setdefault(part, []).append(np.frombuffer(blob, "<u4", n).astype(U64) << U64(8) | np.frombuffer(blob, np.uint8, n, 4 * n))
-        for part, arrays in held.items():
-            keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
-            bits = np.zeros((1 << TWICE_BITS) // parts, dtype=np.uint8)
-            bits[(keys[counts > 1] >> U64(KEY_BITS - TWICE_BITS)).astype(np.int64) - part * len(bits)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+            for x in _arrays(batch):
+                key, doc, at = x["seed"].astype(U64), x["seed_doc"], x["seed_at"].astype(np.int64)
+                hit = np.flatnonzero(keycounts.has(bitmap, width, key))
+                if not len(hit):
+                    continue
+                near = (doc[1:] == doc[:-1])
+                step = np.diff(at).astype(U64) * _Q
+                before, after = np.zeros(len(key), dtype=U64), np.zeros(len(key), dtype=U64)
+                before[1:], after[:-1] = np.where(near, mix(key[:-1] + step) | U64(1), 0), np.where(near, mix(key[1:] + step) | U64(1), 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[hit].view(np.int64)), pa.array(x["docs"][doc[hit]]), pa.array(at[hit].astype(np.int32)), pa.array(before[hit].view(np.int64)), pa.array(after[hit].view(np.int64))],
+                    names=[c.split()[0] for c in SEED.split(", ")])
 
     return run
 
 
-def _grams(how: Paragraphs, twice) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """cluster (the gram), doc_id, start, end of the grams near a repeated seed."""
+PARA = "id long, doc_id long, w0 int, w1 int, start int, end int, cls long, cls2 long, bands array<long>"
+
+
+def _para_rows(repeated, width: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """Paragraphs with a band that may be another's."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(twice.value, dtype=np.uint8)
+        bitmap = np.frombuffer(repeated.value, dtype=np.uint8)
         for batch in batches:
-            for ids, found in _found(batch, how):
-                hit = ngram_join._has(bitmap, TWICE_BITS, found.grams[found.seeds]).astype(bool)
-                own = found.near(found.seeds[hit])
-                if not len(own):
+            for x in _arrays(batch):
+                n = len(x["para_doc"])
+                if not n:
                     continue
-                start, end = found.ranges(own)
+                bands = x["bands"].astype(U64).reshape(n, -1)
+                hit = np.flatnonzero(keycounts.has(bitmap, width, bands).any(axis=1))
+                at, named = x["para_at"].reshape(n, 4)[hit], x["para_name"].view(np.int64).reshape(n, 2)[hit]
+                offsets = pa.array(np.arange(len(hit) + 1, dtype=np.int32) * bands.shape[1])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(bands[hit].view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.grams[own].view(np.int64)), ids.take(pa.array(found.text[own])), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))],
-                    names=["cluster", "doc_id", "start", "end"],
-                )
+                    [pa.array(x["base"] + hit), pa.array(x["docs"][x["para_doc"][hit]]), *(pa.array(np.ascontiguousarray(at[:, k])) for k in range(4)), *(pa.array(np.ascontiguousarray(named[:, k])) for k in range(2)), lists],
+                    names=[c.split()[0] for c in PARA.split(", ")])
 
     return run
 
 
-_BLANK, _LINE = re.compile(rb"\n[ \t\r\v\f]*\n"), re.compile(rb"\n")
+def _several(rows: DataFrame, key: str, *more) -> DataFrame:
+    """For each value of ``key`` in several documents: its first place (doc_id, w0), and ``more`` aggregates."""
+    found = rows.groupBy(key).agg(F.min(F.struct("doc_id", "w0")).alias("first"), F.max("doc_id").alias("last"), *more)
+    return found.where("first.doc_id <> last").drop("last")
+
+
+_REMOVED = "(doc_id <> first.doc_id or w0 <> first.w0) as removed"
+
+
+def _repeated_seeds(seeds: DataFrame) -> DataFrame:
+    """doc_id, w0, key, first_doc, removed, before, after (whether the run may end before or after the seed)."""
+    ends = [f(c).alias(f"{c}_{n}") for c in ("before", "after") for n, f in (("lo", F.min), ("hi", F.max))]
+    held = seeds.join(_several(seeds, "key", *ends), "key")
+    return held.selectExpr("doc_id", "w0", "key", "first.doc_id as first_doc", _REMOVED,
+                           "before = 0 or before_lo <> before_hi as before", "after = 0 or after_lo <> after_hi as after")
+
+
+SEEDS = "array<struct<w0:int,key:bigint,first_doc:bigint,removed:boolean,before:boolean,after:boolean>>"
+PARAS = "array<struct<id:bigint,w0:int,w1:int>>"
+#: What texts show: kind 0, spans of repeated seeds; 1, grams where runs may end (key); 2, sets of paragraphs.
+SHOWN = "kind int, doc_id long, w0 int, w1 int, start int, end int, removed boolean, first_doc long, key long, id long, n long, wide array<long>, set binary"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+
+
+def _shown(count: int, kind: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = dict(c.split() for c in SHOWN.split(", "))
+    columns["kind"] = pa.array(np.full(count, kind, dtype=np.int32))
+    return pa.RecordBatch.from_arrays([columns[c].cast(_KINDS[t]) if c in columns else pa.nulls(count, _KINDS[t]) for c, t in kinds.items()], names=list(kinds))
 
 
-def paragraphs(text: bytes, least: int) -> list[tuple[int, int]]:
-    """Byte ranges of the blocks between blank lines, or of the lines where none is blank; small neighbours are one."""
-    ends = _BLANK if _BLANK.search(text) else _LINE
-    out: list[tuple[int, int]] = []
-    held, first, last, at = 0, 0, 0, 0
-    for b, after in [*((m.start(), m.end()) for m in ends.finditer(text)), (len(text), len(text))]:
-        piece = text[at:b]
-        n = len(piece.split())
-        a, b = b - len(piece.lstrip()), at + len(piece.rstrip())
-        at = after
-        if n >= least and held >= least:
-            out.append((first, last))
-        if n >= least:
-            out.append((a, b))
-            held = 0
-        elif n:
-            first, last, held = first if held else a, b, held + n
-    return [*out, (first, last)] if held >= least else out
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The row of each struct in some lists, and the fields of all."""
+    rows, values = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+    return rows, {f.name: values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(values.type)}
 
 
-def _paragraphs(how: Paragraphs) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
-    """doc_id, start, end (code points), text of the paragraphs."""
+def _seed_spans(found: Found, row: np.ndarray, s: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """row, first word, end (in the buffer), removed, first_doc of the seeds joined where they touch."""
+    at, size = found.first[row] + s["w0"], found.how.words
+    by = np.lexsort((at, s["removed"], row))
+    row, at, removed, first = row[by], at[by], s["removed"][by], s["first_doc"][by]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (removed[1:] != removed[:-1]) | (at[1:] > at[:-1] + size)])
+    starts = np.flatnonzero(new)
+    return row[starts], at[starts], at[np.append(starts[1:], len(at)) - 1] + size, removed[starts], np.minimum.reduceat(first, starts)
+
+
+def _ends(found: Found, row: np.ndarray, s: dict[str, np.ndarray]) -> np.ndarray:
+    """Places of the grams at which a run of these seeds may begin or end."""
+    at, out = found.first[row] + s["w0"], []
+    for sign, on in ((-1, s["before"].astype(bool)), (1, s["after"].astype(bool))):
+        p = (at[on][:, None] + sign * np.arange(1, found.how.reach)[None, :]).ravel()
+        of = np.repeat(row[on], found.how.reach - 1)
+        p, of = p[(p >= 0) & (p < len(found.grams))], of[(p >= 0) & (p < len(found.grams))]
+        out.append(p[(found.text[p] == of) & (found.grams[p] != NONE)])
+    return np.unique(np.concatenate(out))
+
+
+def _show(how: Paragraphs) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """SHOWN of texts (doc_id, text, seeds, paras)."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, start, end, texts = [], [], [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                at = points = 0
-                for a, b in paragraphs(text, how.words):
-                    first = points + len(text[at:a].decode("utf-8", "replace"))
-                    at, points = b, first + len(text[a:b].decode("utf-8", "replace"))
-                    row.append(i)
-                    start.append(first)
-                    end.append(points)
-                    texts.append(text[a:b])
-            if row:
-                columns = [batch.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "text"])
+            for rows, found in _found(batch, how):
+                ids = batch.column(0).slice(rows.start, rows.stop - rows.start).to_numpy()
+                part = lambda c: batch.column(c).slice(rows.start, rows.stop - rows.start)  # noqa: E731, B023
+                spanned = lambda row, a, b: dict(zip(
+                    ("doc_id", "w0", "w1", "start", "end"), map(pa.array, (ids[row], a - found.first[row], b - found.first[row], *found.points(a, b - 1)))))  # noqa: B023
+                row, s = _flat(part(2))
+                if len(row):
+                    # rows that share a doc_id may differ in their texts
+                    at = found.first[row] + s["w0"]
+                    own = np.flatnonzero((s["w0"] < found.t.counts[row]) & (found.grams[np.minimum(at, len(found.grams) - 1)].view(np.int64) == s["key"]))
+                    row, s = row[own], {c: x[own] for c, x in s.items()}
+                if len(row):
+                    r, a, b, removed, first = _seed_spans(found, row, s)
+                    yield _shown(len(r), 0, **spanned(r, a, b), removed=pa.array(removed.astype(bool)), first_doc=pa.array(first))
+                    p = _ends(found, row, s)
+                    yield _shown(len(p), 1, **spanned(found.text[p], p, p + how.words), key=pa.array(found.grams[p].view(np.int64)))
+                row, s = _flat(part(3))
+                own = np.flatnonzero(s["w1"] <= found.t.counts[row])
+                if len(own):
+                    shingles = shingle_hashes(found.hashes, how.shingle)
+                    a, b = (found.first[row] + s[c] for c in ("w0", "w1"))
+                    sets = [np.unique(shingles[a[i]:b[i] - how.shingle + 1]) for i in own.tolist()]
+                    wide = [np.frombuffer(ngram_join.parity_bits(x, 64 * ngram_join.WIDE), dtype="<i8") for x in sets]
+                    yield _shown(len(own), 2, id=pa.array(s["id"][own]), n=pa.array([len(x) for x in sets]), wide=pa.array(wide, pa.list_(pa.int64())), set=pa.array([x.tobytes() for x in sets], pa.binary()))
 
     return run
 
 
-COLUMNS = ("doc_id", "start", "end", "cluster", "first_doc", "first_start")
+def _texts_of(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) joined with ``told`` (doc_id, ...). A bitmap keeps most other texts from being shuffled."""
+    width = ngram_join.wanted_width(told.count())
+    wanted = rows.sparkSession.sparkContext.broadcast(ngram_join.wanted_bits(told, "doc_id", width))
 
+    @F.pandas_udf("boolean")
+    def hit(at: pd.Series) -> pd.Series:
+        return pd.Series(ngram_join.is_wanted(np.frombuffer(wanted.value, dtype=np.uint8), at.to_numpy()))
 
-def _several(placed: DataFrame) -> DataFrame:
-    """COLUMNS of the places whose cluster touches several documents."""
-    of = Window.partitionBy("cluster")
-    first = placed.select("*", F.min(F.struct("doc_id", "start")).over(of).alias("first"), F.max("doc_id").over(of).alias("last"))
-    return first.where("first.doc_id <> last").select("doc_id", "start", "end", "cluster", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    return rows.where(hit(ngram_join.bit_of(F.col("doc_id"), width))).join(told, "doc_id")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def near_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
-    """COLUMNS of each whole paragraph that is equal or similar to one of another document."""
-    how, spark = how or Paragraphs(), docs.sparkSession
-    made = _rows(docs).mapInArrow(_paragraphs(how), "doc_id long, start long, end long, text string")
-    all_of = cut(made.select(F.monotonically_increasing_id().alias("id"), "*"))
-    signed, classes, comps = ngram_join.link_classes(spark, all_of.select(F.col("id").alias("doc_id"), "text"), ngram_join.Jaccard(how.shingle, how.percent))
-    named = classes.select("cls").join(comps.select(F.col("node").alias("cls"), "label"), "cls", "left")
-    named = named.select(F.col("cls").alias("__cls"), F.coalesce("label", "cls").alias("cluster"))
-    ids = signed.where("n > 0").join(named, F.col("cls") == F.col("__cls")).select(F.col("doc_id").alias("id"), "cluster")
-    return _several(all_of.select("id", "doc_id", "start", "end").join(ids, "id").drop("id"))
-
-
-def repeated_runs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
-    """COLUMNS of each gram that several documents hold, near a repeated seed; a cluster is a gram."""
-    how, spark, rows = how or Paragraphs(), docs.sparkSession, _rows(docs)
-    parts = 1 << max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    counted = rows.mapInArrow(_keys(how, parts), "part int, keys binary").repartition(parts, "part").mapInArrow(_twice(parts), "part int, bits binary").toArrow()
-    step = (1 << TWICE_BITS) // parts // 8
-    whole = bytearray((1 << TWICE_BITS) // 8)
-    for part, bits in zip(counted.column("part").to_pylist(), counted.column("bits").to_pylist()):
-        whole[part * step:(part + 1) * step] = bits
-    twice = spark.sparkContext.broadcast(bytes(whole))  # 32 MB whatever the input
-    return _several(rows.mapInArrow(_grams(how, twice), "cluster long, doc_id long, start long, end long"))
+PLACED = ("doc_id", "w0", "w1", "start", "end", "first_doc", "removed")
 
 
 def repeated_paragraphs(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
-    """COLUMNS of repeated runs and near paragraphs."""
-    return repeated_runs(docs, how).unionByName(near_paragraphs(docs, how))
+    """PLACED (words and code points from, to; the first document of the cluster) of repeated grams and paragraphs."""
+    how, spark = how or Paragraphs(), docs.sparkSession
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chunked = cut(rows.mapInArrow(_chunks(how), CHUNK))
+    seed_bits = _repeated(chunked, "seeds", ["seed_doc", "seed"], _seed_keys)
+    band_bits = _repeated(chunked, "paras", ["bands"], _band_keys, how.bands[0])
+    seeds = cut(chunked.select("docs", "seed_doc", "seed", "seed_at").mapInArrow(_seed_rows(*seed_bits), SEED))
+    paras = cut(chunked.select("base", "docs", "para_doc", "para_name", "para_at", "bands").mapInArrow(_para_rows(*band_bits), PARA))
+    forget(chunked)
+
+    classes = cut(paras.groupBy("cls", "cls2").agg(F.min("id").alias("rep")))
+    named = cut(paras.join(classes, ["cls", "cls2"]).drop("cls", "cls2"))
+    entries = named.where("id = rep").select("id", F.posexplode("bands").alias("nth", "token"))
+    lists = cut(ngram_join.listed(entries))
+    in_lists = named.join(lists.select("id").distinct(), "id", "left_semi")
+
+    none = lambda kind, name: F.lit(None).cast(kind[6:-1]).alias(name)
+    of_seeds = _repeated_seeds(seeds).select("doc_id", F.struct("w0", "key", "first_doc", "removed", "before", "after").alias("s"), none(PARAS, "p"))
+    of_paras = in_lists.select("doc_id", none(SEEDS, "s"), F.struct("id", "w0", "w1").alias("p"))
+    told = cut(of_seeds.unionByName(of_paras).groupBy("doc_id").agg(F.collect_set("s").cast(SEEDS).alias("seeds"), F.collect_set("p").cast(PARAS).alias("paras")))
+    forget(seeds)
+    shown = cut(_texts_of(rows, told).select("doc_id", "text", "seeds", "paras").mapInArrow(_show(how), SHOWN))
+    forget(told)
+
+    ends = shown.where("kind = 1").select("key", "doc_id", "w0", "w1", "start", "end")
+    ends = ends.join(_several(ends, "key"), "key").selectExpr("doc_id", "w0", "w1", "start", "end", "first.doc_id as first_doc", _REMOVED)
+
+    sets = shown.where("kind = 2").dropDuplicates(["id"]).select("id", "n", "wide", "set")
+    lists = lists.join(sets.select("id", "n"), "id").withColumn("ell", F.lit(1))
+    comps = ngram_join.connect(lists, sets, lambda pairs: ngram_join.confirmed(pairs, sets, how.percent), how.percent, early=1, reach=1)
+    near = named.join(comps.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("cluster", F.coalesce("label", "rep"))
+    near = near.join(_several(near, "cluster"), "cluster").selectExpr("doc_id", "w0", "w1", "start", "end", "first.doc_id as first_doc", _REMOVED)
+    return shown.where("kind = 0").select(*PLACED).unionByName(ends).unionByName(near)
+
+
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with island: the number of the run of rows that overlap or touch, within ``keys``."""
+    by = Window.partitionBy(*keys).orderBy("w0", "w1")
+    new = (F.col("w0") > F.coalesce(F.max("w1").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
+    return rows.withColumn("new", new).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
 def repeated_spans(docs: DataFrame, how: Paragraphs | None = None) -> DataFrame:
     """doc_id, start, end, removed, first_doc: spans of repeated text; those that aren't the first are removals.
 
-    first_doc is the least document that holds the first paragraph of one of the span's clusters.
+    first_doc is the least document that holds the first place of one of the span's clusters.
     """
-    placed = repeated_paragraphs(docs, how).withColumn(
-        "removed", (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))
-    ).distinct()
-    before = Window.partitionBy("doc_id", "removed").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    marked = placed.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(before) + 1, F.lit(-1))).cast("int"))
-    upto = Window.partitionBy("doc_id", "removed").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    spans = marked.withColumn("island", F.sum("new").over(upto)).groupBy("doc_id", "removed", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"))
+    how = how or Paragraphs()
+    placed = _islands(repeated_paragraphs(docs, how).repartition("doc_id").distinct(), ["doc_id"])
+    whole = Window.partitionBy("doc_id", "island")
+    long = placed.withColumn("size", F.max("w1").over(whole) - F.min("w0").over(whole)).where(F.col("size") >= how.run).drop("island", "size")
+    spans = _islands(long, ["doc_id", "removed"]).groupBy("doc_id", "removed", "island").agg(
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min("first_doc").alias("first_doc"))
     return spans.select("doc_id", "start", "end", "removed", "first_doc")

@@ -171,7 +171,7 @@ def test_near_paragraphs_of_whole_length(make):
     r, rows, changed = random.Random(8), [], []
     word = lambda: f"w{r.randrange(10**6)}"
     for i in range(40):
-        p = [word() for _ in range(r.choice((44, 60)))]
+        p = [word() for _ in range(r.choice((52, 60)))]
         q = list(p)
         q[r.randrange(15, len(p) - 15)] = "changed"
         for j, x in enumerate((p, q)):
