@@ -38,7 +38,7 @@ from quarry.llm.common import cut, forget
 from quarry.llm.components import components
 
 #: Frequencies that part levels of shingles, and how many bits (as powers of two) fewer than the main bitmap theirs have.
-OFTEN, FEWER = tuple(16 * 4**k for k in range(8)), 3
+OFTEN, FEWER = tuple(16 * 4**k for k in range(8)), 5
 
 
 @dataclass(frozen=True)
@@ -169,8 +169,8 @@ def _count(parts: int, width: int) -> Callable[[Batches], Iterator[pa.RecordBatc
 
 
 def frequency_bitmaps(signed: DataFrame, parts: int, width: int) -> list[bytes]:
-    """The bitmaps of shingles that occur twice, and of those that reach each frequency of OFTEN: 2^width bits, and an
-    eighth of that each."""
+    """The bitmaps of shingles that occur twice, and of those that reach each frequency of OFTEN: 2^width bits, and a
+    32nd of that each."""
     rows = signed.where("twice is not null").select("part", "twice", *[F.col("often")[k].alias(f"often{k}") for k in range(len(OFTEN))]).toArrow()
     return [keycounts.whole(rows, "twice", parts, width), *(keycounts.whole(rows, f"often{k}", parts, width - FEWER) for k in range(len(OFTEN)))]
 
@@ -349,7 +349,7 @@ def _with_components(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """``lists`` with comp; lists that lie inside one component are left out."""
     known = lists.join(comps.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
     known = cut(known)
-    several = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    several = cut(known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"))
     return known.join(several, "token", "left_semi")
 
 
@@ -370,9 +370,9 @@ def _all_pairs(lists: DataFrame, tested: DataFrame, wide: DataFrame, percent: in
 
 
 def listed(entries: DataFrame) -> DataFrame:
-    """``entries`` (token, ...) of tokens with several, with c, their number. Counted by partial sums and joined, so no
-    task has to hold the list of a frequent token."""
-    counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    """``entries`` (token, ...) of tokens with several, with c, their number. Counted by partial sums, written, and joined
+    by exchanges that Spark can split, so no task has to hold the list of a frequent token."""
+    counts = cut(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     return entries.join(counts, "token")
 
 

@@ -272,9 +272,12 @@ def _para_rows(repeated, width: int) -> Callable[[Batches], Iterator[pa.RecordBa
 
 
 def _several(rows: DataFrame, key: str, *more) -> DataFrame:
-    """For each value of ``key`` in several documents: its first place (doc_id, w0), and ``more`` aggregates."""
+    """For each value of ``key`` in several documents: its first place (doc_id, w0), and ``more`` aggregates.
+
+    Written, so that a join with it begins with exchanges of both sides, which Spark can split where a key is frequent.
+    """
     found = rows.groupBy(key).agg(F.min(F.struct("doc_id", "w0")).alias("first"), F.max("doc_id").alias("last"), *more)
-    return found.where("first.doc_id <> last").drop("last")
+    return cut(found.where("first.doc_id <> last").drop("last"))
 
 
 _REMOVED = "(doc_id <> first.doc_id or w0 <> first.w0) as removed"
