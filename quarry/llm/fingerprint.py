@@ -1,13 +1,16 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's items are the distinct 64-bit digests of its lines; lines are cut into pieces of 64 characters. The
-fingerprint holds 24 cells in 3 tables; each item is in one cell of each table, and a cell keeps the number of its
-items and the exclusive or of their digests and of their checks. The cells of two versions are subtracted, and
-peeling (take the item of a cell that holds one alone, remove it from its other cells) recovers the digests
-in which the versions differ. Where that fails, the sketch is made larger: items are split over blocks of cells, as
-many as the versions could need; a block that fails again is split once more; what still fails is compared digest
-by digest. The likeness of two fingerprints is common digests over all digests, which the sizes and the
-difference give exactly.
+A text's items are the distinct 64-bit digests of its paragraphs: lines, parted after sentences of 80 characters or more
+(and after 400 without an end), so a change reaches no further than the next end of a sentence. A fingerprint carries the
+digests and two sketches of them: 24 cells in 3 tables (each item is in one cell of each table; a cell keeps the number of
+its items and the exclusive or of their digests and of their checks), and parity words, each 64 bits over a quarter of the
+items of the one before. Both sketches of two versions are subtracted. The parity words tell about how many digests
+differ. If the cells may hold as many, they are peeled (take the item of a cell that holds one alone, remove it from its
+other cells), which recovers the digests in which the versions differ. If not, or if peeling fails, the sketch is made
+larger from the digests: split into as many blocks of 24 cells as the estimate asks for; blocks that fail are split into
+four once more, until all are peeled. Other bits of a bijective hash part the items at each level, so
+different digests end up apart, and the result is exact. The likeness of two fingerprints is common digests over all
+digests, which the numbers of items and the difference give; nothing but the two fingerprints goes into it.
 
 All of it is built-in functions on one row at a time. The next document comes from a window over ranges of
 doc_id, each with a copy of the first row of the next range.
@@ -24,41 +27,50 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import let
 
-PIECE = 64
+#: A paragraph, or a part of a long one.
+PARAGRAPH = r"[^\n]{80,400}?[.!?](?=[ \t\r\n]|\z)|[^\n]{1,400}"
 TABLES, WIDTH = 3, 8  # WIDTH is a power of two
 CELLS = TABLES * WIDTH
-#: Items in a block of a larger sketch, on average, and parts of a block that fails.
-PER_BLOCK, PARTS = 8, 4
+#: Differing items that a block of cells is to hold, blocks that a failing one is split into, and the most levels.
+PER_BLOCK, PARTS, LEVELS = 8, 4, 32
 ROUNDS = 12
+#: Parity words, and the bits that may differ in one for it to tell a number.
+PARITIES, READABLE = 8, 20
+
+ITEM, ITEMS = "struct<k:bigint,n:bigint>", "array<struct<k:bigint,n:bigint>>"
 
 
 def items_of(text: Column) -> Column:
-    """The distinct digests of the pieces of a text."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\n]{{1,{PIECE}}}"), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x)))
+    """The distinct digests of the paragraphs of a text, in order of their values."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
+    return F.sort_array(F.array_distinct(F.transform(pieces, lambda x: F.xxhash64(x))))
 
 
 def _check(k: Column) -> Column:
     return F.xxhash64(k).bitwiseAND(0xFFFFFFFF)
 
 
-def _places(k: Column, level: int) -> list[Column]:
+def _shift(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", x, bits.cast("int"))
+
+
+def _places(k: Column, level: Column) -> list[Column]:
     """The cells (0 to CELLS - 1) of item ``k``, one in each table; each level takes other bits of the digest."""
-    return [(F.shiftright(k, 9 * level + 3 * t).bitwiseAND(WIDTH - 1) + t * WIDTH).cast("int") for t in range(TABLES)]
+    return [(_shift(k, F.pmod(9 * level, F.lit(54)) + 3 * t).bitwiseAND(WIDTH - 1) + t * WIDTH).cast("int") for t in range(TABLES)]
 
 
 def _struct(n: Column, k: Column, h: Column) -> Column:
     return F.struct(n.cast("long").alias("n"), k.alias("k"), h.alias("h"))
 
 
-def _with_places(items: Column, level: int) -> Column:
+def _with_places(items: Column, level: Column) -> Column:
     """Items (k, n) with their check and cells."""
     return F.transform(items, lambda x: F.struct(
         x["k"].alias("k"), x["n"].alias("n"), _check(x["k"]).alias("h"), *[p.alias(f"p{t}") for t, p in enumerate(_places(x["k"], level))]
     ))
 
 
-def _cells(signed: Column, level: int) -> Column:
+def _cells(signed: Column, level: Column) -> Column:
     """Cells of items (struct k, n): n is 1, or -1 for items that are taken away."""
     zero = lambda: _struct(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
     add = lambda a, x: _struct(a["n"] + x["n"], a["k"].bitwiseXOR(x["k"]), a["h"].bitwiseXOR(x["h"]))
@@ -78,7 +90,7 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _struct(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
 
 
-def peel(cells: Column, level: int) -> Column:
+def peel(cells: Column, level: Column) -> Column:
     """The digests that ``cells`` hold, or null if peeling doesn't empty them. Only cells that hold something are kept."""
     holds = lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)
     put = lambda c, n, k, h: F.struct(c.alias("c"), n.alias("n"), k.alias("k"), h.alias("h"))
@@ -101,50 +113,66 @@ def peel(cells: Column, level: int) -> Column:
     return let(end, lambda e: F.when(F.size(e["cells"]) == 0, e["got"]))
 
 
-def _apart(signed: Column) -> Column:
-    """The size of the difference of two lists, digest by digest: what is left when equal digests of both signs cancel."""
-    side = lambda sign: F.transform(F.filter(signed, lambda x: x["n"] == sign), lambda x: x["k"])
-    one, other = side(1), side(-1)
-    return F.size(F.array_except(one, other)) + F.size(F.array_except(other, one))
-
-
-def _found(signed: Column, level: int) -> Column:
+def _found(signed: Column, level: Column) -> Column:
     """How many digests peeling recovers from the cells of ``signed``, -1 where it fails."""
     return let(peel(_cells(signed, level), level), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(-1))
 
 
-def _deal(items: Column, n: Column, place) -> Column:
-    """``items`` in ``n`` lists by ``place(item, n)``."""
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.filter(items, lambda x: place(x, n) == g))
+def parities(items: Column) -> Column:
+    """Parity words: in the j-th, each item of a 4^-j part of all turns one of 64 bits."""
+    hashed = F.transform(items, lambda k: F.xxhash64(k, F.lit(1)))
 
+    def word(hashes: Column, j: int) -> Column:
+        own = hashes if j == 0 else F.filter(hashes, lambda h: h.bitwiseAND(4**j - 1) == 0)
+        one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(one(h)))
 
-def with_difference(rows: DataFrame, a: str, b: str, cells_a: str, cells_b: str, to: str) -> DataFrame:
-    """``rows`` with ``to``: the number of digests in one of the lists ``a`` and ``b`` only, as sketches tell it.
+    return let(hashed, lambda hashes: F.array(*[word(hashes, j) for j in range(PARITIES)]))
 
-    The fingerprints' cells are tried first. Where they don't peel, the sketch is made larger: items go to groups and
-    then to blocks (so the work grows with the power 1.5 of their number); blocks that fail are split once more, and
-    what still fails is compared digest by digest.
-    """
-    none = F.array().cast("array<struct<k:bigint,n:bigint>>")
-    lists = F.array().cast("array<array<struct<k:bigint,n:bigint>>>")
+
+def estimate(a: Column, b: Column, most: Column) -> Column:
+    """About how many digests differ, from two lists of parity words: told by the first word in which few enough bits
+    differ; ``most`` if there is none."""
+    def told(j: int) -> Column:
+        bits = F.bit_count(a[j].bitwiseXOR(b[j]))
+        return F.when(bits <= READABLE, -32.0 * 4**j * F.log(1 - bits / 32.0))
+
+    return F.least(F.coalesce(*[told(j) for j in range(PARITIES)], most.cast("double")), most.cast("double"))
+
+
+def larger_difference(signed: Column, levels: Column) -> Column:
+    """The number of digests of one sign only: peeled from blocks of cells that are split ``levels`` times at first."""
+    def step(state: Column, level: Column) -> Column:
+        def deal(items: Column) -> Column:
+            part = lambda x: _shift(F.xxhash64(x["k"]), 2 * level).bitwiseAND(PARTS - 1)
+            return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda g: F.filter(items, lambda x: part(x) == g))
+
+        def after(tried: Column) -> Column:
+            failed = F.flatten(F.transform(F.filter(tried, lambda t: t["f"] < 0), lambda t: deal(t["b"])))
+            got = F.aggregate(tried, F.lit(0), lambda s, t: s + F.greatest(t["f"], F.lit(0)))
+            return F.struct(F.filter(failed, lambda x: F.size(x) > 0).alias("left"), (state["found"] + got).alias("found"))
+
+        tried = F.transform(state["left"], lambda x: F.struct(x.alias("b"), F.when(level < levels, -1).otherwise(_found(x, level)).alias("f")))
+        return F.when(F.size(state["left"]) == 0, state).otherwise(let(tried, after))
+
+    start = F.struct(F.filter(F.array(signed), lambda x: F.size(x) > 0).alias("left"), F.lit(0).alias("found"))
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step)
+    return end["found"]
+
+
+def with_difference(rows: DataFrame, a: str, b: str, to: str) -> DataFrame:
+    """``rows`` with ``to``: the number of digests in one of two fingerprints only (columns a_items, a_cells, a_parities ...)."""
     c = lambda x: F.col(f"__{x}")
-    first = let(peel(subtract(F.col(cells_a), F.col(cells_b)), 0), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(-1))
-    one = rows.withColumn("__first", first)
-    two = one.withColumn("__signed", F.when(c("first") < 0, F.concat(signed_items(F.col(a), 1), signed_items(F.col(b), -1))).otherwise(none))
-    two = two.withColumn("__n", F.greatest(F.ceil(F.sqrt(F.size("__signed") / F.lit(float(PER_BLOCK)))).cast("int"), F.lit(1)))
-    three = two.withColumn("__groups", F.when(c("first") < 0, _deal(c("signed"), c("n"), lambda x, n: F.pmod(x["k"], n))).otherwise(lists))
-    inner = lambda x, n: F.pmod(F.shiftrightunsigned(F.xxhash64(x["k"]), 8), n)
-    blocks = F.filter(F.flatten(F.transform("__groups", lambda g: _deal(g, c("n"), inner))), lambda x: F.size(x) > 0)
-    four = three.withColumn("__blocks", blocks)
-    five = four.withColumn("__tried", F.transform("__blocks", lambda x: F.struct(x.alias("b"), _found(x, 1).alias("f"))))
-    split = lambda x, n: F.shiftrightunsigned(F.xxhash64(x["k"]), 40).bitwiseAND(PARTS - 1)
-    parts = F.flatten(F.transform(F.filter("__tried", lambda t: t["f"] < 0), lambda t: _deal(t["b"], F.lit(PARTS), split)))
-    six = five.withColumn("__parts", F.filter(parts, lambda x: F.size(x) > 0))
-    seven = six.withColumn("__again", F.transform("__parts", lambda x: let(_found(x, 2), lambda f: F.when(f >= 0, f).otherwise(_apart(x)))))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
-    larger = total(F.transform("__tried", lambda t: F.greatest(t["f"], F.lit(0)))) + total(c("again"))
-    eight = seven.withColumn(to, F.when(c("first") >= 0, c("first")).otherwise(larger))
-    return eight.drop("__first", "__signed", "__n", "__groups", "__blocks", "__tried", "__parts", "__again")
+    total = F.size(f"{a}_items") + F.size(f"{b}_items")
+    one = rows.withColumn("__about", estimate(F.col(f"{a}_parities"), F.col(f"{b}_parities"), total))
+    # a few more than a block is for still peel in most cases
+    small = let(peel(subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")), F.lit(0)), lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(-1))
+    two = one.withColumn("__first", F.when(c("about") <= 1.5 * PER_BLOCK, small).otherwise(-1))
+    signed = F.concat(signed_items(F.col(f"{a}_items"), 1), signed_items(F.col(f"{b}_items"), -1))
+    three = two.withColumn("__signed", F.when(c("first") < 0, signed).otherwise(F.array().cast(ITEMS)))
+    levels = F.ceil(F.log(float(PARTS), F.greatest(c("about") / PER_BLOCK, F.lit(1.0)))).cast("int")
+    four = three.withColumn("__levels", F.greatest(levels, F.lit(1))).withColumn("__larger", larger_difference(c("signed"), c("levels")))
+    return four.withColumn(to, F.when(c("first") >= 0, c("first")).otherwise(c("larger"))).drop("__about", "__first", "__signed", "__levels", "__larger")
 
 
 def likeness(items_a: Column, items_b: Column, difference: Column) -> Column:
@@ -153,10 +181,12 @@ def likeness(items_a: Column, items_b: Column, difference: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise((total - difference).cast("double") / (total + difference).cast("double"))
 
 
-def written(items: Column, cells: Column) -> Column:
-    """A fingerprint as text: number of items, then count, digests and checks of each cell in hexadecimal."""
-    cell = lambda c: F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["h"]))
-    return F.concat(F.size(items).cast("string"), F.lit(":"), F.array_join(F.transform(cells, cell), ","))
+def written(name: str) -> Column:
+    """A fingerprint as text: parity words, the count, digest and check of each cell (nothing for an empty one), digests; in
+    hexadecimal."""
+    cell = lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["h"])))
+    joined = lambda xs, f: F.array_join(F.transform(xs, f), ",")
+    return F.concat_ws(":", joined(F.col(f"{name}_parities"), F.hex), joined(F.col(f"{name}_cells"), cell), joined(F.col(f"{name}_items"), F.hex))
 
 
 def _ranges(docs: DataFrame, per_partition: int = 4, most: int = 512) -> DataFrame:
@@ -179,32 +209,37 @@ def _ranges(docs: DataFrame, per_partition: int = 4, most: int = 512) -> DataFra
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, items of each row, and next_text, next_items of the one after it (after the last, the first)."""
+    """doc_id, text of each row, and next_text of the one after it (after the last, the first)."""
     ranged = _ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     first = ranged.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("d"))
     names = ranged.select("bucket").distinct()  # one row for each range
     order = names.select("bucket", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy())).alias("__before"))
     guests = first.join(order.withColumnRenamed("bucket", "__own"), F.col("bucket") == F.col("__own"))
     guests = guests.select("d.doc_id", "d.text", F.col("__before").alias("bucket"), F.lit(1).alias("guest"))
-    both = ranged.select("doc_id", "text", "bucket", F.lit(0).alias("guest")).unionByName(guests).withColumn("items", items_of(F.col("text")))
+    both = ranged.select("doc_id", "text", "bucket", F.lit(0).alias("guest")).unionByName(guests)
     by = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    led = both.select("doc_id", "text", "items", "guest", F.lead("text").over(by).alias("next_text"), F.lead("items").over(by).alias("next_items"))
+    led = both.select("doc_id", "text", "guest", F.lead("text").over(by).alias("next_text"))
     return led.where("guest = 0").drop("guest")
 
 
+def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the fingerprint of the column ``text``: name_items, name_cells, name_parities."""
+    one = rows.withColumn(f"{name}_items", items_of(F.col(text)))
+    items = F.col(f"{name}_items")
+    return one.withColumns({f"{name}_cells": _cells(signed_items(items, 1), F.lit(0)), f"{name}_parities": parities(items)})
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``docs``."""
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("left(next_text, cast(floor(length(text) / 4) as int))"))
-    one = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "items", "next_items", edited.alias("edited"))
-    two = one.select("doc_id", "n_chars", "items", "next_items", F.sha2("edited", 256).alias("edited_sha256"), items_of(F.col("edited")).alias("edited_items"))
-    cells = lambda c: _cells(signed_items(F.col(c), 1), 0)
-    three = two.select("*", cells("items").alias("cells"), cells("edited_items").alias("edited_cells"), cells("next_items").alias("next_cells"))
-    four = with_difference(three, "items", "edited_items", "cells", "edited_cells", "edited_apart")
-    five = with_difference(four, "items", "next_items", "cells", "next_cells", "next_apart")
-    return five.select(
-        "doc_id", "n_chars", "edited_sha256", written(F.col("items"), F.col("cells")).alias("fingerprint"),
-        written(F.col("edited_items"), F.col("edited_cells")).alias("edited_fingerprint"),
-        likeness(F.col("items"), F.col("edited_items"), F.col("edited_apart")).alias("near_edited"),
-        likeness(F.col("items"), F.col("next_items"), F.col("next_apart")).alias("near_next"),
+    rows = with_next(docs).withColumns({"n_chars": n.cast("long"), "edited_text": edited})
+    for text, name in (("text", "own"), ("edited_text", "edited"), ("next_text", "next")):
+        rows = with_fingerprint(rows, text, name)
+    rows = rows.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("text", "edited_text", "next_text")
+    rows = with_difference(with_difference(rows, "own", "edited", "edited_apart"), "own", "next", "next_apart")
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", written("own").alias("fingerprint"), written("edited").alias("edited_fingerprint"),
+        likeness(F.col("own_items"), F.col("edited_items"), F.col("edited_apart")).alias("near_edited"),
+        likeness(F.col("own_items"), F.col("next_items"), F.col("next_apart")).alias("near_next"),
     )

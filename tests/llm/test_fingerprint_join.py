@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from quarry.llm import components, fingerprint, ngram_join, substring
 from quarry.llm.common import table
 
-PIECE = fingerprint.PIECE
+PARAGRAPH = re.compile(fingerprint.PARAGRAPH.replace(r"\z", r"\Z"))
 
 
 def pieces(t):
-    return {line[i:i + PIECE] for line in (t or "").split("\n") for i in range(0, len(line), PIECE)}
+    return set(PARAGRAPH.findall(t or ""))
 
 
 def alike(a, b):
@@ -53,11 +54,40 @@ def test_peeling_recovers_what_differs(spark):
     a, b = list(range(100, 140)), list(range(103, 142))
     df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
     h = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    cells = lambda c: fingerprint._cells(fingerprint.signed_items(h(F.col(c)), 1), 0)
-    got, want = df.select(fingerprint.peel(fingerprint.subtract(cells("a"), cells("b")), 0), F.array_union(F.array_except(h(F.col("a")), h(F.col("b"))), F.array_except(h(F.col("b")), h(F.col("a"))))).first()
+    cells = lambda c: fingerprint._cells(fingerprint.signed_items(h(F.col(c)), 1), F.lit(0))
+    got, want = df.select(fingerprint.peel(fingerprint.subtract(cells("a"), cells("b")), F.lit(0)), F.array_union(F.array_except(h(F.col("a")), h(F.col("b"))), F.array_except(h(F.col("b")), h(F.col("a"))))).first()
     assert got is None or sorted(got) == sorted(want)
 
 
+def test_differences_of_all_sizes_are_exact(spark):
+    r, rows = random.Random(4), []
+    for n, m, common in [(0, 0, 0), (1, 0, 0), (0, 1, 5), (1, 1, 0), (3, 4, 500), (12, 0, 9), (40, 40, 40), (700, 3, 10), (900, 900, 100), (0, 0, 2000), (2500, 1, 0)]:
+        x = [r.getrandbits(64) - (1 << 63) for _ in range(n + m + common)]
+        rows.append((x[:n + common], x[n:], n + m))
+    df = spark.createDataFrame(rows, "own_items array<long>, other_items array<long>, want int")
+    for c in ("own", "other"):
+        df = df.withColumns({f"{c}_cells": fingerprint._cells(fingerprint.signed_items(F.col(f"{c}_items"), 1), F.lit(0)), f"{c}_parities": fingerprint.parities(F.col(f"{c}_items"))})
+    about = fingerprint.estimate(F.col("own_parities"), F.col("other_parities"), F.size("own_items") + F.size("other_items"))
+    for want, got, guess in fingerprint.with_difference(df.withColumn("guess", about), "own", "other", "got").select("want", "got", "guess").collect():
+        assert got == want and (want < 10 or 0.4 * want <= guess <= 2.5 * want)
+
+
+def test_an_inserted_character_changes_one_paragraph(make):
+    r = random.Random(6)
+    text = " ".join(" ".join(f"w{r.randrange(10**5)}" for _ in range(r.randint(5, 20))) + "." for _ in range(300))
+    assert len(pieces(text) ^ pieces("x" + text)) <= 6 and len(pieces(text)) > 50
+
+
+def test_likeness_follows_from_the_fingerprints_alone(spark):
+    got = fingerprint.fingerprints(table(spark, SMALL, "documents").select("doc_id", "text")).orderBy("doc_id").collect()
+    digests = lambda f: set(f.split(":")[2].split(",")) - {""}
+    for x, after in zip(got, [*got[1:], got[0]]):
+        for f, near in ((x.edited_fingerprint, x.near_edited), (after.fingerprint, x.near_next)):
+            a, b = digests(x.fingerprint), digests(f)
+            assert near == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+            assert len(f.split(":")[1].split(",")) == fingerprint.CELLS
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
