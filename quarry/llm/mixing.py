@@ -31,22 +31,35 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 
     Sources by code point, null last, have the weights in turn. They share ``share`` times all words. A target
     stops at ``limit`` times its source's words; what is above goes to the others by weight. With sources in the
-    order of (limit x size / weight), those that stop are a prefix, so running sums give the final shares. The
-    windows see one row for each source; documents were summed before, partially on the map side.
+    order of (limit x size / weight), those that stop are a prefix, so running sums give the final shares. Both orders
+    are ranges, each worked on by a task; only a row for each range, and one of totals, come together.
     """
     one = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
-    turn = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights)))
-    two = one.select("*", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")).alias("w"))
-    two = two.select("*", (F.lit(float(limit)) * F.col("source_size")).alias("cap"))
-    by = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.lit(float(share)) * F.sum("source_size").over(whole)
-    three = two.select("*", ((total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)).alias("level"))
+    numbered = _with_sums(one, [F.col("source").asc_nulls_last()], {"turn": F.lit(1)})
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("turn"), F.lit(len(weights))) + 1).cast("int"))
+    two = numbered.select("source", "docs", "source_size", w.alias("w"), (F.lit(float(limit)) * F.col("source_size")).alias("cap"))
+    ratio = F.col("cap") / F.col("w")
+    three = _with_sums(two, [ratio.asc(), F.col("source").asc_nulls_last()], {"caps": F.col("cap"), "weights": F.col("w")})
+    sums = three.agg(F.sum("source_size").alias("__size"), F.sum("w").alias("__w"))  # a row
+    level = (F.lit(float(share)) * F.col("__size") - F.col("caps")) / (F.col("__w") - F.col("weights"))
+    four = three.crossJoin(F.broadcast(sums)).withColumn("level", level)
     # the final share of a unit of weight is that of the first source that doesn't stop
-    four = three.select("*", F.first(F.when(F.col("cap") > F.col("level") * F.col("w"), F.col("level")), ignorenulls=True).over(whole).alias("unit"))
+    place = F.struct(ratio.alias("r"), F.col("source").isNull().alias("last"), F.col("source").alias("s"))
+    unit = four.where(F.col("cap") > F.col("level") * F.col("w")).agg(F.min_by("level", place).alias("unit"))  # a row
     target = F.least(F.col("cap"), F.coalesce(F.col("unit") * F.col("w"), F.col("cap")))
-    return four.select("source", "docs", "source_size", target.alias("target"))
+    return four.crossJoin(F.broadcast(unit)).select("source", "docs", "source_size", target.alias("target"))
+
+
+def _with_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each of ``sums``, the sum over the rows before in ``order``: of the ranges before, and inside the range."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = ranged.groupBy("__range").agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__{k}").over(over), F.lit(0)).alias(f"__{k}") for k in sums])
+    inside = ranged.withColumns({k: F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in sums.items()})
+    return inside.join(F.broadcast(totals), "__range").withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__range", *[f"__{k}" for k in sums])
 
 
 def _step(state: Column, x: Column, level: int, seed: int) -> Column:
@@ -139,7 +152,7 @@ def take(docs: DataFrame, seed: int = 0) -> DataFrame:
     share = mix(docs, seed=seed).groupBy("doc_id", "mark", "source").agg(
         F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")
     ).where("__copies > 0").toDF("__id", "__mark", "__source", "__copies", "__rows")
-    # the copies of equal rows are dealt out evenly; what is left over goes to the first of them
+    # one of equal rows stands for the copies of all of them
     marked = docs.withColumn("__m", F.xxhash64("text"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
     joined = marked.join(share, on)

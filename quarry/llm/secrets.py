@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +95,14 @@ class _Maker:
             out += self.r.choice(_SYLLABLES + 2 * _CLUSTERS)
         return self.r.choice((out, out, out.capitalize(), out.upper()))
 
+    def near(self) -> str:
+        """A word of the surroundings: of syllables or of any letters, some with a sign behind."""
+        r = self.r
+        own = self.word() if r.random() < 0.5 else self.chars(string.ascii_lowercase + "éèçñüöäßóí", 1, 14)
+        return (own.capitalize() if r.random() < 0.15 else own) + (r.choice(",.;:") if r.random() < 0.2 else "")
+
     def words(self, n: int) -> str:
-        return " ".join(self.word() for _ in range(n))
+        return self.r.choice(("", "\n")) + " ".join(self.near() for _ in range(n))
 
     def secret(self) -> str:
         alnum, c = string.ascii_letters + string.digits, self.chars
@@ -110,6 +117,9 @@ class _Maker:
             lambda: c(string.hexdigits.upper(), 32, 64),
             lambda: c(string.ascii_lowercase + string.digits, 24, 40),
             lambda: "glpat-" + c(alnum + "_-", 20, 20),
+            lambda: c(3 * string.digits + "ABCDEF", 24, 48),
+            lambda: f"{c(string.digits, 12, 20)}:{c(string.digits, 8, 16)}",
+            lambda: "-".join(c(string.digits, 8, 8) for _ in range(self.r.randint(3, 5))),
         ))()
 
     def other(self) -> str:
@@ -240,7 +250,7 @@ class Scanner:
 
 
 @cache
-def train(seed: int = 7, examples: int = 4000, epochs: int = 6, recall: float = 0.98) -> Scanner:
+def train(seed: int = 7, examples: int = 8000, epochs: int = 6, recall: float = 0.98) -> Scanner:
     """Trains on ``examples`` labelled findings, calibrates on a fourth as many others, and sets thresholds."""
     maker, rng = _Maker(seed), np.random.default_rng(seed)
     data = [maker.finding() for _ in range(examples)]
@@ -276,7 +286,7 @@ def train(seed: int = 7, examples: int = 4000, epochs: int = 6, recall: float =
     limits = []
     for k in range(len(FORMS)):
         own = (forms == k) & (y == 1)
-        # the highest threshold at which this share is still found; a form without keys takes that of all keys
+        # the highest threshold at which this share is still found; without a key of a form, that of all keys
         true = np.sort(scores[own if own.any() else y == 1])
         limits.append(float(true[int((1 - recall) * len(true))]))
     return Scanner(p, slope, offset, tuple(limits))
@@ -296,19 +306,20 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base, spans: counts and spans (joined) of each document."""
     model = scanner or train()
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
+            counts, spans = [], []
+            for text in batch.column(1).to_pylist():
                 base, both = all_spans(text or "", model)
                 kinds = [k for k, _, _ in base]
-                rows.append((*(kinds.count(k) for k in KINDS[:3]), joined(base), joined(both)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base", "spans"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
+                counts.append([kinds.count(k) for k in KINDS[:3]])
+                spans.append((joined(base), joined(both)))
+            numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
+            texts = [pa.array([s[k] for s in spans], pa.string()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, *texts], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string")
+    return slim.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string")
 
 
 def redact(docs: DataFrame, scanner: Scanner | None = None, mark: str = "[SECRET]", text: str = "text") -> DataFrame:

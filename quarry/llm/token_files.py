@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bytewords import chunks, hash_ranges
-from quarry.llm.common import fresh_path
+from quarry.llm.common import cut, fresh_path
 
 END_ID = 2
 #: Pieces whose ids are kept in a Python worker, at about 40 bytes each.
@@ -194,18 +194,19 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files at ``path``.
 
     The start is the sum of the files before and of the rows before in the file: two levels of running sums,
-    one over a row for each file, one inside each file.
+    one over a row for each file (by the number in its name), one inside each file. The files are read once.
     """
-    rows = read_ids(spark, path).select("doc_id", "place", "ids", "file").mapInArrow(
+    rows = cut(read_ids(spark, path).select("doc_id", "place", "ids", "file").mapInArrow(
         _sums, "doc_id long, place long, file string, n_tokens long, ids_crc32 long"
-    )
+    ))
     inside = Window.partitionBy("file").orderBy("place")
     rows = rows.select(
         "*", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("before"),
         F.sum("n_tokens").over(Window.partitionBy("file")).alias("of_file"), F.row_number().over(inside).alias("nth"),
     )
     files = rows.where("nth = 1").select(F.col("file").alias("__file"), "of_file")
-    files = files.select("__file", (F.sum("of_file").over(Window.orderBy("__file")) - F.col("of_file")).alias("files_before"))
+    in_order = Window.orderBy(F.regexp_extract("__file", r"part-(\d+)", 1).cast("long"), "__file")
+    files = files.select("__file", (F.sum("of_file").over(in_order) - F.col("of_file")).alias("files_before"))
     return rows.join(files, F.col("file") == F.col("__file")).select(
         "doc_id", (F.col("files_before") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -57,6 +57,63 @@ def test_labels_are_read_from_training_rows_only(spark, make):
     assert np.array_equal(one.weights, two.weights) and one.offset == two.offset
 
 
+def test_features_are_words_and_beginnings():
+    texts = ["Naïve naïve cats, catnip x", "", "a-b a"]
+    want = [{("w", w) for w in ws} | {(n, w[:n]) for w in ws for n in toxicity.PREFIXES} for ws in ({"naïve".encode(), b"cats", b"catnip", b"x"}, set(), {b"a", b"b"})]
+    got = toxicity.feature_lists([t.lower() for t in texts])
+    assert [len(set(x)) for x in got] == [len(x) for x in got] == [len(w) for w in want]
+    some = np.zeros(toxicity.SIZE, dtype=bool)
+    some[got[0][::3]] = True
+    assert [x.tolist() for x in toxicity.feature_lists([t.lower() for t in texts], some)] == [[f for f in x.tolist() if some[f]] for x in got]
+
+
+def test_swap_penalty_gradients():
+    """Against differences of the penalty itself, weight by weight."""
+    r = np.random.default_rng(1)
+    w, x, other = r.normal(0, 1, toxicity.SIZE), np.array([3, 5, 9, 11]), np.array([5, 9, 20])
+
+    def penalty(w):
+        one, two = (1 / (1 + np.exp(-(w[f].sum() - 0.3))) for f in (x, other))
+        return 8 * (one - two) ** 2
+
+    told = {int(f): g for fs, g in toxicity.swap_gradients(w, -0.3, x, other, 8) for f in fs}
+    assert set(told) == {3, 5, 9, 11, 20}
+    for f, g in told.items():
+        up, down = w.copy(), w.copy()
+        up[f] += 1e-6
+        down[f] -= 1e-6
+        assert g == pytest.approx((penalty(up) - penalty(down)) / 2e-6, abs=1e-6)
+
+
+def test_fit_is_plain_gradient_descent():
+    """The same updates written out over dictionaries."""
+    r = np.random.default_rng(2)
+    lists = [np.unique(r.integers(0, 30, 6)) for _ in range(40)]
+    swapped = [np.unique(np.append(x[1:], 31 + i % 3)) if i % 3 else None for i, x in enumerate(lists)]
+    labels = np.array([float(5 in x) for x in lists])
+    model = toxicity.fit(lists, swapped, labels, epochs=3)
+    w, g2, offset, rng = Counter(), dict.fromkeys(range(40), 0.01), -2.0, np.random.default_rng(0)
+    score = lambda x: 1 / (1 + math.exp(-(sum(w[int(f)] for f in x) + offset)))
+
+    def step(fs, gradient):
+        for f in map(int, fs):
+            g = gradient(f)
+            g2[f] += g * g
+            w[f] = max(w[f] - 0.2 * g / math.sqrt(g2[f]), 0)
+
+    for _ in range(3):
+        for i in rng.permutation(40).tolist():
+            x, y = set(lists[i].tolist()), swapped[i]
+            error, old = score(x) - labels[i], dict(w)
+            step(sorted(x), lambda f: error + 1e-3 * old.get(f, 0))  # noqa: B023
+            offset -= 0.02 * error
+            if y is not None:
+                y = set(y.tolist())
+                a, b = score(x), score(y)
+                step(sorted(x | y), lambda f: 16 * (a - b) * ((f in x) * a * (1 - a) - (f in y) * b * (1 - b)))  # noqa: B023
+    assert model.offset == pytest.approx(offset) and model.weights[:40] == pytest.approx([w[f] for f in range(40)])
+
+
 HARD = st.lists(st.sampled_from(["<", "|", "\\", ">", "<|im_end|>", "<|im_start|>", "<\\|", "\n", "a", "assistant"]), max_size=12).map("".join)
 
 
@@ -232,6 +289,53 @@ def test_rest_of_a_run_and_keys_without_digits_are_scored():
     assert secrets.all_spans("plain internationalization words_and_more-words-here Gesellschaftlichkeit", model)[1] == []
 
 
+def plain_scan(text, model):
+    """Every run of key-like characters, character by character, less the patterns' spans; each scored by itself."""
+    base, taken = plain_spans(text), set()
+    for _, a, b in base:
+        taken |= set(range(a, b))
+    alphabet = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.@:-")
+    found, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in alphabet and end not in taken:
+            end += 1
+        a = at
+        if a and a - 1 in taken and text[a - 1] in alphabet:  # signs that part a rest from a span
+            while a < end and text[a] in ":@=":
+                a += 1
+        if end - a >= 16:
+            found.append((a, end))
+        at = max(end, at + 1)
+    view = lambda a, b: (text[max(0, a - secrets.LEFT):a], text[a:b], text[b:b + secrets.RIGHT])
+    kept = [("learned", a, b) for a, b in found if model.scores([view(a, b)])[0] >= model.thresholds[secrets.form_of(text[a:b])]]
+    return sorted(base + kept, key=lambda s: (s[1], secrets.KINDS.index(s[0]), s[2]))
+
+
+def test_scan_agrees_with_a_plain_one(spark):
+    model, docs = secrets.train(), table(spark, SMALL, "documents").select("doc_id", "text")
+    r, maker, rows, planted = np.random.default_rng(3), secrets._Maker(99), [], []
+    for x in docs.orderBy("doc_id").collect():
+        words = x.text.split(" ")
+        key = maker.secret()
+        if len(key) >= 16 and len(words) > 5:
+            at = int(r.integers(1, len(words)))
+            left = " ".join(words[:at]) + " "
+            rows.append((x.doc_id, left + key + " " + " ".join(words[at:])))
+            planted.append((x.doc_id, len(left), len(left) + len(key), key))
+        else:
+            rows.append((x.doc_id, x.text))
+    got = {x.doc_id: x.spans for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    clean = {x.doc_id: x.spans for x in secrets.scan(docs).collect()}
+    for i, text in rows[:120]:
+        assert got[i] == secrets.joined(plain_scan(text, model)), i
+    covered = lambda i, a, b: any(int(y) <= a and b <= int(z) for _, y, z in (s.split(":") for s in got[i].split(",") if s))
+    for form in range(len(secrets.FORMS)):
+        own = [covered(i, a, b) for i, a, b, key in planted if secrets.form_of(key) == form]
+        assert len(own) >= 8 and np.mean(own) >= 0.9, secrets.FORMS[form]
+    assert sum(s.count("learned") for s in clean.values()) <= 0.1 * len(clean), "texts without planted keys are left alone"
+
+
 def test_thresholds_keep_the_recall():
     strict, loose = secrets.train(), secrets.train(recall=1.0)
     assert all(a <= b for a, b in zip(loose.thresholds, strict.thresholds)) and min(loose.thresholds) < 0.5
