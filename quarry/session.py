@@ -11,15 +11,18 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
-#: Rows may hold whole texts, so batches for Python are smaller than the default of 10000 rows.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows may hold whole texts or packed arrays, so batches for Python are smaller than by default.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's code to the executors, once for each application, and sets the batch size for Python."""
+    """Sends the package's code to the executors, once for each application, and sets the sizes of batches for Python
+    where the session has none of its own."""
     sc = spark.sparkContext
-    if int(spark.conf.get(BATCH)) == 10000:
-        spark.conf.set(BATCH, "1000")
+    given = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in given:
+            spark.conf.set(key, value)
     if sc.applicationId not in _shipped:
         top = Path(__file__).resolve().parent
         to = Path(tempfile.mkdtemp(prefix="quarry-code-")) / "quarry_code.zip"
