@@ -5,7 +5,7 @@ Hashes are polynomials over random byte values, mixed at the end. They are the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -83,6 +83,17 @@ def _lower() -> bytes:
     return bytes(range(256)).lower()
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def alone(name: str, clear: Callable[[], None] | None = None) -> None:
+    """To be called where an operator's work begins in a Python worker: what others keep there (told by ``clear``) is let go."""
+    for other in [k for k in _kept if k != name]:
+        _kept.pop(other)()
+    if clear:
+        _kept[name] = clear
+
+
 class Texts:
     """Some texts (bytes), with a line feed between, and their words. lower: A-Z become a-z."""
 

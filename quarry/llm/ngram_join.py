@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import keycounts
-from quarry.llm.bytewords import U64, Texts, chunks, mix, shingle_hashes
+from quarry.llm.bytewords import U64, Texts, alone, chunks, mix, shingle_hashes
 from quarry.llm.common import cut, forget
 from quarry.llm.components import components
 
@@ -127,6 +127,7 @@ def _sign(words: int, parts: int, most: int = 1 << 21) -> Callable[[Batches], It
         return _rows(len(full), part=pa.array(full, pa.int32()), keys=pa.array(blobs, pa.binary()))
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        alone("ngram join")
         held, size, at = [], 0, 0
         for batch in batches:
             for ids, sets in _sets(batch, words):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import keycounts, ngram_join
-from quarry.llm.bytewords import U64, Texts, chunks, mix, powers, shingle_hashes
+from quarry.llm.bytewords import U64, Texts, alone, chunks, mix, powers, shingle_hashes
 from quarry.llm.common import cut, forget
 
 
@@ -177,6 +177,7 @@ CHUNK = "seeds long, paras long, base long, " + ", ".join(f"{c} binary" for c in
 
 def _chunks(how: Paragraphs) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        alone("substring")
         base = TaskContext.get().partitionId() << 36  # the rows are written once, and numbers stay
         for batch in batches:
             ids = batch.column(0).to_numpy()

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bytewords import chunks, hash_ranges
+from quarry.llm.bytewords import alone, chunks, hash_ranges
 from quarry.llm.common import cut, fresh_path
 
 END_ID = 2
@@ -147,6 +147,7 @@ def piece_encoder(path: str) -> PieceEncoder:
 
 def _encoder(path: str, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("token files", piece_encoder.cache_clear)
         encoder, place = piece_encoder(path), 0
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).fill_null(b"")
