@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,14 +14,13 @@ PUNCTUATION = ".,;:!?()-_/\\|@#$%^&*+=<>{}[]\"'~`"
 LEGAL_FORMS = ("cong ty", "tnhh", "cp", "jsc", "ltd")
 # Regions in the order of detection.
 REGIONS = (
-    "Ha-Noi TP-Ho-Chi-Minh Da-Nang Hai-Phong Can-Tho "
-    "Bac-Ninh Hai-Duong Hung-Yen Vinh-Phuc Quang-Ninh Thai-Binh Nam-Dinh Ninh-Binh Ha-Nam Phu-Tho Bac-Giang Thai-Nguyen "
-    "Lang-Son Tuyen-Quang Yen-Bai Lao-Cai Ha-Giang Cao-Bang Bac-Kan Dien-Bien Lai-Chau Son-La Hoa-Binh "
-    "Thanh-Hoa Nghe-An Ha-Tinh Quang-Binh Quang-Tri Thua-Thien-Hue Quang-Nam Quang-Ngai Binh-Dinh Phu-Yen Khanh-Hoa "
-    "Ninh-Thuan Binh-Thuan Kon-Tum Gia-Lai Dak-Lak Dak-Nong Lam-Dong "
-    "Binh-Phuoc Tay-Ninh Binh-Duong Dong-Nai Ba-Ria-Vung-Tau Long-An Tien-Giang Ben-Tre Tra-Vinh Vinh-Long Dong-Thap "
-    "An-Giang Kien-Giang Hau-Giang Soc-Trang Bac-Lieu Ca-Mau"
-).split()
+    "Ha-Noi", "TP-Ho-Chi-Minh", "Da-Nang", "Hai-Phong", "Can-Tho", "Bac-Ninh", "Hai-Duong", "Hung-Yen", "Vinh-Phuc", "Quang-Ninh",
+    "Thai-Binh", "Nam-Dinh", "Ninh-Binh", "Ha-Nam", "Phu-Tho", "Bac-Giang", "Thai-Nguyen", "Lang-Son", "Tuyen-Quang", "Yen-Bai", "Lao-Cai",
+    "Ha-Giang", "Cao-Bang", "Bac-Kan", "Dien-Bien", "Lai-Chau", "Son-La", "Hoa-Binh", "Thanh-Hoa", "Nghe-An", "Ha-Tinh", "Quang-Binh",
+    "Quang-Tri", "Thua-Thien-Hue", "Quang-Nam", "Quang-Ngai", "Binh-Dinh", "Phu-Yen", "Khanh-Hoa", "Ninh-Thuan", "Binh-Thuan", "Kon-Tum",
+    "Gia-Lai", "Dak-Lak", "Dak-Nong", "Lam-Dong", "Binh-Phuoc", "Tay-Ninh", "Binh-Duong", "Dong-Nai", "Ba-Ria-Vung-Tau", "Long-An",
+    "Tien-Giang", "Ben-Tre", "Tra-Vinh", "Vinh-Long", "Dong-Thap", "An-Giang", "Kien-Giang", "Hau-Giang", "Soc-Trang", "Bac-Lieu", "Ca-Mau",
+)
 
 
 def punctuation_class() -> str:
@@ -38,6 +38,15 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFC")
+
+
+def nfc(c: Column) -> Column:
+    """Letters and their marks composed (NFC). In Arrow batches, as Spark has no function for it."""
+    return F.pandas_udf(_composed, "string")(c)
+
+
 def ws_normalize(c: Column) -> Column:
     """Runs of white space become a space; none at the ends; null becomes empty."""
     return F.trim(F.regexp_replace(blank(c), r"(?U)\s+", " "))

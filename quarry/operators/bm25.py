@@ -73,9 +73,8 @@ def score(index: Index, queries: Mapping[int, str], params: Params = Params(), s
         rank = F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))
         postings = postings.withColumn("__r", rank).where(F.col("__r") <= params.cap).drop("__r")
     # the terms of given queries: a few rows for each query, whatever the corpus
-    hits = postings.join(F.broadcast(wanted), "term").join(index.doc_stats, "doc_id", "left").crossJoin(F.broadcast(index.stats.select("avgdl")))
-    dl = F.coalesce(F.col("dl").cast("double"), F.col("avgdl"))
-    part = F.col("idf") * tf_part(F.col("tf").cast("double"), dl, F.col("avgdl"), params.k1, params.b)
+    hits = postings.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    part = F.col("idf") * tf_part(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("avgdl"), params.k1, params.b)
     summed = hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("matched"), F.max("valid").alias("valid"))
     total = F.col("s") * F.pow(F.col("matched") / F.col("valid"), F.lit(params.coord_exp))
     return summed.select("qid", "doc_id", F.round(total, 6).alias("score"), "matched")

@@ -31,3 +31,14 @@ def winners(precisions: DataFrame, engines: tuple[str, str, str] = ("bm25", "vec
         "qid", F.when(F.size(won) == len(engines), "all").otherwise(F.array_join(won, ",")).alias("winner"),
         (F.col(engines[2]) >= F.greatest(*engines[:2])).alias("hybrid_ok"),
     )
+
+
+def latency(times: DataFrame) -> DataFrame:
+    """engine, avg_seconds, min_seconds, max_seconds. times: engine, seconds of each query."""
+    f = lambda how, name: F.round(how("seconds"), 6).alias(name)
+    return times.groupBy("engine").agg(f(F.avg, "avg_seconds"), f(F.min, "min_seconds"), f(F.max, "max_seconds"))
+
+
+def win_counts(won: DataFrame) -> DataFrame:
+    """winner, queries, hybrid_ok: how many queries each set of engines won, and in how many of them the third was as good."""
+    return won.groupBy("winner").agg(F.count(F.lit(1)).alias("queries"), F.sum(F.col("hybrid_ok").cast("long")).alias("hybrid_ok"))

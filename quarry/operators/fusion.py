@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rrf(lists: Sequence[DataFrame], weights: Sequence[float], k: int = 60) -> DataFrame:
-    """doc_id, score: the sum of weight / (k + rank) over lists (rank, doc_id)."""
-    parts = [df.select("doc_id", (F.lit(float(w)) / (k + F.col("rank"))).alias("s")) for df, w in zip(lists, weights)]
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+def rrf(lists: Sequence[DataFrame], weights: Sequence[float], k: int = 60, by: Sequence[str] = ()) -> DataFrame:
+    """doc_id, score: the sum of weight / (k + rank) over lists (rank, doc_id). by: columns that tell several queries apart."""
+    parts = [df.select(*by, "doc_id", (F.lit(float(w)) / (k + F.col("rank"))).alias("s")) for df, w in zip(lists, weights)]
+    return reduce(DataFrame.unionByName, parts).groupBy(*by, "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
@@ -12,7 +14,10 @@ from quarry.functions.text import tokens
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, doc_id, tf), terms (term, df), doc_stats (doc_id, dl), stats (n, total_len, avgdl, vocab: one row)."""
+    """postings (term, doc_id, tf, dl), terms (term, df), doc_stats (doc_id, dl), stats (n, total_len, avgdl, vocab: one row).
+
+    Postings carry their document's length, so a query reads nothing but the postings of its terms.
+    """
 
     postings: DataFrame
     terms: DataFrame
@@ -35,11 +40,11 @@ class Index:
             "parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
         self.terms.repartitionByRange(max(1, n // 4), "term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         self.doc_stats.write.parquet(f"{path}/doc_stats")
+        self.stats.coalesce(1).write.parquet(f"{path}/stats")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        postings, terms, docs = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "doc_stats"))
-        return Index(postings, terms, docs, corpus_stats(docs, terms))
+        return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "doc_stats", "stats")))
 
 
 def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -54,10 +59,28 @@ def corpus_stats(doc_stats: DataFrame, terms: DataFrame) -> DataFrame:
     return sums.crossJoin(F.broadcast(vocab)).select("n", "total_len", avg.alias("avgdl"), "vocab")  # a row each
 
 
-def build(docs: DataFrame, text: str = "text") -> Index:
+def segmented(text: Column, segment: Callable[[str], str]) -> Column:
+    """``text`` with its words joined by a segmenter, in Arrow batches; a text on which it fails stays as it is."""
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else segment(t)
+        except Exception:  # whatever the model raises
+            return t
+
+    @F.pandas_udf("string")
+    def all_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return all_of(text)
+
+
+def build(docs: DataFrame, text: str = "text", segment: Callable[[str], str] | None = None) -> Index:
     """Index of ``docs`` (doc_id, text). Documents without tokens count, with length 0."""
+    if segment:
+        docs = docs.withColumn(text, segmented(F.col(text), segment))
     cut = tokenized(docs, text)
-    postings = cut.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    each = cut.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    postings = each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     docs_len = cut.select("doc_id", F.size("tokens").alias("dl"))
     return Index(postings, terms, docs_len, corpus_stats(docs_len, terms))

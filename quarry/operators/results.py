@@ -26,12 +26,15 @@ def clean_address(c: Column) -> Column:
 
 
 def with_metadata(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """``hits`` (doc_id ...) with the documents' columns; hits are few, and are joined after their limit."""
-    return docs.join(F.broadcast(hits), "doc_id")  # hits: at most the query's limit
+    """``hits`` (doc_id ...) with the documents' columns. Spark broadcasts the hits where they are few."""
+    return docs.join(hits, "doc_id")
 
 
-def boost(hits: DataFrame, query: str) -> DataFrame:
-    """Rule boosts for queries of two words at least. hits: doc_id, score, company_name, address."""
+def boost(hits: DataFrame, query: str, top: DataFrame | None = None) -> DataFrame:
+    """Rule boosts for queries of two words at least. hits: doc_id, score, company_name, address.
+
+    top: a row with the best score. Without it the hits, at most a pool, are gone through by one task.
+    """
     q = query.strip().lower()
     words = q.split()
     if len(words) < 2:
@@ -41,9 +44,12 @@ def boost(hits: DataFrame, query: str) -> DataFrame:
     subset = F.size(F.array_except(F.array(*[F.lit(w) for w in words]), F.split(name, r"(?U)\s+"))) == 0
     by_name = F.when(name == q, 1.0).when(phrase, 0.5).when(subset, 0.3).otherwise(0.0)
     by_addr = F.when(addr == q, 0.8).when(addr.contains(q), 0.2).otherwise(0.0)
-    top = F.max("score").over(Window.partitionBy())  # hits: at most the pool
     b = F.col("__b")
-    boosted = hits.withColumns({"__b": by_name + by_addr, "__top": top})
+    if top is None:
+        topped = hits.withColumn("__top", F.max("score").over(Window.partitionBy()))
+    else:
+        topped = hits.crossJoin(F.broadcast(top.toDF("__top")))
+    boosted = topped.withColumn("__b", by_name + by_addr)
     new = F.when(b > 0, F.col("__top") + F.col("__top") * b + F.col("score") * 0.1).otherwise(F.col("score"))
     return boosted.withColumn("score", F.round(new, 6)).drop("__b", "__top")
 
@@ -57,9 +63,13 @@ def find_id(docs: DataFrame, wanted: str) -> DataFrame:
 
 def above_threshold(hits: DataFrame, percent: int = 70) -> DataFrame:
     """Hits whose score, rounded to percent of the best, reaches ``percent``."""
-    top = F.max("score").over(Window.partitionBy())  # hits: at most the query's limit
-    scored = hits.withColumn("percent", relevance_percent(F.col("score"), top))
-    return scored.where(F.col("percent") >= percent)
+    return with_percent(hits).where(F.col("percent") >= percent)
+
+
+def with_percent(hits: DataFrame) -> DataFrame:
+    """``hits`` with percent, their score in percent of the best."""
+    top = hits.agg(F.max("score").alias("__top"))  # a row
+    return hits.crossJoin(F.broadcast(top)).withColumn("percent", relevance_percent(F.col("score"), F.col("__top"))).drop("__top")
 
 
 def is_inactive(status: Column) -> Column:
@@ -76,10 +86,15 @@ def by_province(hits: DataFrame, name: str) -> DataFrame:
 
 
 def province_facet(hits: DataFrame) -> DataFrame:
-    """province, hits: in Vietnamese order when shown with ``orderBy(expr("province collate vi"))``."""
+    """province, hits: the number of hits of each province."""
     return hits.select(province(F.col("address")).alias("province")).where("province is not null").groupBy("province").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def facet_names(hits: DataFrame) -> DataFrame:
+    """province: the provinces of the hits in Vietnamese order."""
+    return province_facet(hits).select("province").orderBy(F.expr("province collate vi"))
+
+
 def page(hits: DataFrame, number: int, size: int = 10) -> DataFrame:
     return hits.where((F.col("rank") > (number - 1) * size) & (F.col("rank") <= number * size))
 
@@ -90,6 +105,11 @@ def export_rows(hits: DataFrame) -> DataFrame:
     return hits.select(*[F.col(c).alias(h) for c, h in zip(names, CSV_HEADERS)])
 
 
+def export_name(query: str) -> str:
+    """The name of an export: the first ten characters of its query."""
+    return f"{query[:10]}.csv"
+
+
 def write_csv(hits: DataFrame, path: str) -> None:
     """Quoted CSV with a byte order mark, quotes doubled; one file, as exports are a list of hits."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(blank(F.col(f"`{c}`")), F.lit('"'), F.lit('""')), F.lit('"'))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +67,25 @@ def topk_cells(cells: Cells, query: Sequence[float], k: int, nprobe: int = 64, v
     return topk(cells.vectors.where(F.col("cell").isin(probed)), query, k, vec, key)
 
 
+def index_for(vectors: DataFrame, least: int = 10_000, **how) -> Cells | None:
+    """Cells for ``least`` vectors or more; fewer are searched exactly."""
+    return build(vectors, **how) if vectors.count() >= least else None
+
+
+def encoded(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], text: str = "text", key: str = "doc_id", batch: int = 128, max_docs: int | None = None) -> DataFrame:
+    """vec_id, embedding of documents (all, or the first by ``key``). ``encode`` gets ``batch`` texts at a time and gives a row for each."""
+    rows = docs.select(F.col(key).cast("long").alias("vec_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows if max_docs is None else rows.orderBy("vec_id").limit(max_docs)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), batch):
+                own = b.iloc[at:at + batch]
+                yield pd.DataFrame({"vec_id": own["vec_id"], "embedding": list(np.asarray(encode(own["text"].tolist()), dtype=np.float32))})
+
+    return rows.mapInPandas(run, "vec_id long, embedding array<float>")
+
+
 def _units(rows: Iterable) -> np.ndarray:
     m = np.array([np.asarray(r, dtype=float) for r in rows])
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))

@@ -6,13 +6,15 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import bm25, fusion, results, vector
 from quarry.operators.index import Index
 
 _ID = re.compile(r"[\d\-.\s]{8,15}\Z")
+#: The most hits of a search.
+MOST = 2000
 FIELDS = ("company_name", "tax_code", "address", "representative", "status", "industry")
 
 
@@ -29,9 +31,10 @@ class SearchEngine:
     encode: Callable[[str], Sequence[float]] | None = None
     params: bm25.Params = field(default_factory=bm25.Params)
     boost_pool: int | None = None
+    segment: bm25.Segmenter | None = None
 
     def _bm25(self, q: str, k: int) -> DataFrame:
-        return bm25.topk(bm25.score(self.index, {0: q}, self.params), k)
+        return bm25.topk(bm25.score(self.index, {0: q}, self.params, self.segment), k)
 
     def _vector(self, q: str, k: int) -> DataFrame:
         if self.vectors is None or self.encode is None:
@@ -49,7 +52,7 @@ class SearchEngine:
 
     def search(self, q: str, mode: str = "hybrid", top_k: int = 10, alpha: float = 0.65) -> DataFrame:
         """rank, doc_id, score and the fields of the best documents; any other mode means hybrid."""
-        if not 1 <= top_k <= 2000 or not 0 <= alpha <= 1:
+        if not 1 <= top_k <= MOST or not 0 <= alpha <= 1:
             raise ValueError("top_k is 1 to 2000, alpha 0 to 1")
         q = q.strip()
         if not q:
@@ -60,11 +63,17 @@ class SearchEngine:
                 return found.select("rank", "doc_id", "score", *FIELDS)
         hits = results.with_metadata(self.hits(q, mode, top_k, alpha).drop("rank"), self.documents)
         boosted = results.boost(hits, q)
-        return results.with_metadata(fusion.ranked(boosted, top_k), self.documents).select("rank", "doc_id", "score", *FIELDS)
+        best = boosted.orderBy(F.desc("score"), "doc_id").limit(top_k)
+        rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))  # ``top_k`` rows
+        return best.select(rank.alias("rank"), "doc_id", "score", *FIELDS)
+
+    def total(self, q: str, mode: str = "hybrid") -> DataFrame:
+        """total: the hits that a search reports. Of vectors, which all match, as many as it returns at most."""
+        return self._vector(q, MOST).agg(F.count(F.lit(1)).alias("total")) if mode == "vector" else self.match_count(q)
 
     def match_count(self, q: str) -> DataFrame:
         """Documents that hold a term of the query."""
-        return bm25.score(self.index, {0: q}, self.params).agg(F.count(F.lit(1)).alias("total"))
+        return bm25.score(self.index, {0: q}, self.params, self.segment).agg(F.count(F.lit(1)).alias("total"))
 
     def stats(self) -> DataFrame:
         return self.index.stats.select(

@@ -139,6 +139,58 @@ def url_absolutise(spark, d):
     return links.select("page_id", "link", T.url_absolute(F.col("link"), "https://x.example").alias("absolute"))
 
 
+@add("SELECT doc_id, nfc_normalize(replace(text, 'e', 'e' || chr(769))) AS t FROM documents")
+def nfc(spark, d):
+    """Texts with marks of their own beside their letters, composed."""
+    return docs(spark, d).select("doc_id", T.nfc(F.replace("text", F.lit("e"), F.lit("e\u0301"))).alias("t"))
+
+
+def _tag(name, *parts, **attrs):
+    inside = "".join(f' {k}="{v}"' for k, v in attrs.items())
+    return F.concat(F.lit(f"<{name.split(' ')[0]}{inside}>"), *parts, F.lit(f"</{name.split(' ')[0]}>"))
+
+
+def _escaped(c):
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("'"), F.lit("&#39;"))
+
+
+def listing_pages(spark, d):
+    """page, html: the companies as listing pages of 20; every seventh has a short tax code."""
+    c = companies(spark, d).withColumn("code", F.when(F.col("doc_id") % 7 == 0, F.substring("tax_code", 1, 8)).otherwise(F.col("tax_code")))
+    link = F.concat(F.lit('<a href="'), "url", F.lit('">'), _escaped(F.col("company_name")), F.lit("</a>"))
+    item = _tag("div", _tag("h3", link, **{"class": "company-name"}), _tag("p", F.lit("Địa chỉ: "), _escaped(F.col("address"))), _tag("p", F.lit("Mã số thuế: "), F.col("code")), **{"class": "company-item"})
+    pages = c.select(F.floor(F.col("doc_id") / 20).alias("page"), F.struct("doc_id", item.alias("h")).alias("i")).groupBy("page").agg(F.sort_array(F.collect_list("i")).alias("items"))
+    return pages.select("page", F.array_join(F.col("items.h"), "\n").alias("html"))  # 20 items each
+
+
+@add(f"""WITH {COMPANIES} SELECT CAST(doc_id // 20 AS BIGINT) AS page, company_name, tax_code, address, 'https://x.example' || url AS url FROM companies WHERE doc_id % 7 <> 0""")
+def parse_listing(spark, d):
+    found = listing_pages(spark, d).select("page", F.explode(html.listing(F.col("html"), F.lit("https://x.example"))).alias("c"))
+    return found.select("page", "c.*")
+
+
+def detail_pages(spark, d):
+    cell = lambda x, kind="responsive-table-cell": _tag("div", x, **{"class": kind})
+    head = lambda x: cell(x, "responsive-table-cell responsive-table-cell-head")
+    c, key = companies(spark, d), F.col("doc_id")
+    who = F.when(F.col("representative").isNotNull(), _tag("p", _tag("b", F.col("representative"), itemprop="name"), itemprop="founder")).otherwise("")
+    phone = _tag("i", F.concat(F.lit("09"), F.lpad(key.cast("string"), 8, "0")), itemprop="telephone")
+    facts = F.concat(head(F.lit("Tình trạng hoạt động")), cell(F.col("status")), head(F.lit("Ngày cấp")), cell(F.concat(F.lit("2020-01-"), F.lpad((key % 28 + 1).cast("string"), 2, "0"))))
+    code = F.concat(F.lit("41"), F.lpad((key % 90).cast("string"), 2, "0"))
+    trade = F.when(F.col("industry").isNotNull(), F.concat(head(code), cell(F.col("industry")))).otherwise("")
+    return c.select("doc_id", F.concat(who, phone, facts, _tag("div", head(F.lit("Mã")), cell(F.lit("Ngành")), trade, **{"class": "nnkd-table"})).alias("html"))
+
+
+@add(f"""WITH {COMPANIES} SELECT doc_id, representative, '09' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS phone, status,
+  '2020-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS founded_date,
+  CASE WHEN industry IS NULL THEN [] ELSE ['41' || lpad(CAST(doc_id % 90 AS VARCHAR), 2, '0')] END AS codes,
+  CASE WHEN industry IS NULL THEN [] ELSE [industry] END AS names FROM companies""")
+def parse_detail(spark, d):
+    found = detail_pages(spark, d).select("doc_id", html.detail(F.col("html")).alias("d"))
+    one = lambda name: F.transform("d.industries_detail", lambda x: x[name])
+    return found.select("doc_id", "d.representative", "d.phone", "d.status", "d.founded_date", one("code").alias("codes"), one("name").alias("names"))
+
+
 @add(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents")
 def ws_normalize(spark, d):
     return docs(spark, d).select("doc_id", T.ws_normalize(F.col("text")).alias("t"))
@@ -249,13 +301,13 @@ def snippet(spark, d):
     return docs(spark, d).select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-_QUERY_SQL = r"list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(substr(text, 1, 60), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g')), '[ \t\n\r]+'), lambda x: x <> '' AND (length(x) > 1 OR regexp_matches(x, '^\p{Nd}$')) AND NOT regexp_matches(x, '^_+$'))))"
+_QUERY_SQL = r"list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g')), '[ \t\n\r]+'), lambda x: x <> '' AND (length(x) > 1 OR regexp_matches(x, '^\p{Nd}$')) AND NOT regexp_matches(x, '^_+$'))))"
 
 
 @add(f"SELECT doc_id, {_QUERY_SQL} AS tokens FROM documents")
 def query_tokens(spark, d):
-    """The query rule on a column: each document's beginning as a query."""
-    clean = F.regexp_replace(F.substring("text", 1, 60), r"(?U)[^\w\s]", " ")
+    """The query rule on a column: each document as a query."""
+    clean = F.regexp_replace("text", r"(?U)[^\w\s]", " ")
     return docs(spark, d).select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.lower(clean)))).alias("tokens"))
 
 
@@ -306,7 +358,7 @@ def review_join(spark, d):
 
 @add(f"WITH {INDEX} SELECT term, doc_id, tf FROM post")
 def postings(spark, d):
-    return shared_index(spark, d).postings
+    return shared_index(spark, d).postings.select("term", "doc_id", "tf")
 
 
 @add(f"WITH {INDEX} SELECT term, df FROM terms")
@@ -331,10 +383,10 @@ def term_idf(spark, d):
 
 
 @add(f"""WITH {INDEX} SELECT term, doc_id, round(CAST(tf AS DOUBLE) * 2.2 / (tf + CAST(1.2 AS DOUBLE) * (1 - CAST(0.4 AS DOUBLE) + CAST(0.4 AS DOUBLE) * dl / avgdl)), 6) AS part
-  FROM post JOIN lens USING (doc_id), stats WHERE term IN ('the', 'and', 'of')""")
+  FROM post JOIN lens USING (doc_id), stats""")
 def bm25_tf(spark, d):
     i = shared_index(spark, d)
-    hits = i.postings.where(F.col("term").isin("the", "and", "of")).join(i.doc_stats, "doc_id").crossJoin(F.broadcast(i.stats.select("avgdl")))
+    hits = i.postings.crossJoin(F.broadcast(i.stats.select("avgdl")))  # a row
     return hits.select("term", "doc_id", F.round(bm25.tf_part(F.col("tf").cast("double"), F.col("dl"), F.col("avgdl")), 6).alias("part"))
 
 
@@ -463,9 +515,18 @@ def hybrid_topk(spark, d):
 
 
 def company_index(spark, d):
-    c = F.col
-    body = T.weighted_text(c("company_name"), c("address"), c("representative"), c("status"), c("industry"))
-    return index.build(companies(spark, d).select("doc_id", body.alias("text")))
+    """The index of the companies, kept for all queries of a session."""
+    key, c = (spark.sparkContext.applicationId, f"{d}/companies"), F.col
+    if key not in _indexes:
+        body = T.weighted_text(c("company_name"), c("address"), c("representative"), c("status"), c("industry"))
+        _indexes[key] = index.build(companies(spark, d).select("doc_id", body.alias("text"))).persist()
+    return _indexes[key]
+
+
+def close(spark) -> None:
+    """Lets the kept indexes of a session go."""
+    for key in [k for k in _indexes if k[0] == spark.sparkContext.applicationId]:
+        _indexes.pop(key).close()
 
 
 _BODY = ("lower(concat_ws(' ', nullif(company_name, ''), nullif(company_name, ''), nullif(address, ''), nullif(representative, ''), "
@@ -483,10 +544,16 @@ def metadata(spark, d):
         results.representative(c("representative")).alias("representative"), "status", F.replace(ind, F.lit("_"), F.lit(" ")).alias("industry"))
 
 
-@add(f"WITH {META} SELECT * FROM meta WHERE doc_id < 50")
+@add(f"WITH {META} SELECT * FROM meta")
 def hit_metadata(spark, d):
-    hits = table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("doc_id"))
-    return results.with_metadata(hits, metadata(spark, d))
+    return results.with_metadata(table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id")), metadata(spark, d))
+
+
+@add(f"""WITH {COMPANIES} SELECT doc_id, coalesce(nullif(industry, ''), CASE WHEN doc_id % 2 = 0 THEN status || ', ' || url ELSE status END) AS industry FROM companies""")
+def industry_names(spark, d):
+    """The field of industries where it is given, and else the names of a list, without its empty ones."""
+    names = F.array("status", F.lit(""), F.when(F.col("doc_id") % 2 == 0, F.col("url")))
+    return companies(spark, d).select("doc_id", results.industry(F.lit(None).cast("string"), F.col("industry"), names).alias("industry"))
 
 
 COMPANY_QUERY = "NATION_3, Hà Nội"
@@ -541,10 +608,20 @@ def search_vector(spark, d):
 @add(f"WITH {META}, hits AS (SELECT doc_id, CAST(1.0 AS DOUBLE) / (1 + doc_id) AS score FROM companies), {boost_sql('công ty cp customer#000000007')} SELECT * FROM boosted")
 def exact_boost(spark, d):
     hits = metadata(spark, d).withColumn("score", F.lit(1.0) / (1 + F.col("doc_id")))
-    boosted = results.boost(hits, "Công ty CP Customer#000000007")
+    boosted = results.boost(hits, "Công ty CP Customer#000000007", hits.agg(F.max("score")))
     return boosted.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@add(f"WITH {META}, {company_scored(COMPANY_QUERY)} SELECT count(*) AS total FROM scored")
+def search_total(spark, d):
+    return engine(spark, d).total(COMPANY_QUERY, "bm25")
+
+
+@add("SELECT least(2000, count(*)) AS total FROM embeddings")
+def search_total_vector(spark, d):
+    return engine(spark, d).total(COMPANY_QUERY, "vector")
+
+
 @add(f"WITH {META} SELECT CAST(1 AS INT) AS rank, CAST(-1 AS BIGINT) AS doc_id, CAST(1.0 AS DOUBLE) AS score, company_name, tax_code, address, representative, status, industry FROM meta WHERE tax_code = '0000000042'")
 def id_lookup(spark, d):
     return engine(spark, d).search("0000000042")
@@ -555,45 +632,48 @@ HITS = f"""{META}, list AS (SELECT meta.*, round(abs(c_acctbal) / 100, 4) AS sco
   CAST(row_number() OVER (ORDER BY round(abs(c_acctbal) / 100, 4) DESC, doc_id) AS INT) AS rank FROM meta JOIN customer ON c_custkey = doc_id)"""
 
 
-def hit_list(spark, d):
+def scored_list(spark, d):
+    """All customers with their metadata and score."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.round(F.abs("c_acctbal") / 100, 4).alias("score"))
-    return fusion.ranked(c, 1000).join(metadata(spark, d), "doc_id")
+    return c.join(metadata(spark, d), "doc_id")
 
 
-LISTED = HITS + ", hits AS (SELECT * FROM list WHERE rank <= 1000)"
+LISTED = HITS + ", hits AS (SELECT * FROM list)"
 _PCT = "CAST(round(score / (SELECT CASE WHEN max(score) > 0 THEN max(score) ELSE 1 END FROM hits) * 100) AS INT)"
 
 
 @add(f"""WITH {LISTED}, pct AS (SELECT doc_id, score, CASE WHEN score > 0 THEN greatest({_PCT}, 1) ELSE {_PCT} END AS percent FROM hits)
   SELECT doc_id, percent, CASE WHEN percent < 60 THEN 'low' WHEN percent < 85 THEN 'mid' ELSE 'high' END AS band FROM pct""")
 def relevance_pct(spark, d):
-    h = hit_list(spark, d)
-    top = h.agg(F.max("score").alias("__top"))
-    p = h.crossJoin(F.broadcast(top)).select("doc_id", T.relevance_percent(F.col("score"), F.col("__top")).alias("percent"))
-    return p.select("doc_id", "percent", T.band(F.col("percent")).alias("band"))
+    return results.with_percent(scored_list(spark, d)).select("doc_id", "percent", T.band(F.col("percent")).alias("band"))
 
 
-@add(f"WITH {LISTED} SELECT rank, doc_id, score FROM hits WHERE {_PCT} >= 70")
+@add(f"WITH {LISTED} SELECT doc_id, score FROM hits WHERE {_PCT} >= 70")
 def threshold_70(spark, d):
-    return results.above_threshold(hit_list(spark, d), 70).select("rank", "doc_id", "score")
+    return results.above_threshold(scored_list(spark, d), 70).select("doc_id", "score")
 
 
-@add(f"WITH {LISTED} SELECT rank, doc_id, status FROM hits WHERE NOT (contains(lower(status), 'ngừng') OR contains(lower(status), 'giải thể'))")
+@add(f"WITH {LISTED} SELECT doc_id, status FROM hits WHERE NOT (contains(lower(status), 'ngừng') OR contains(lower(status), 'giải thể'))")
 def status_filter(spark, d):
-    return results.by_status(hit_list(spark, d), True).select("rank", "doc_id", "status")
+    return results.by_status(scored_list(spark, d), True).select("doc_id", "status")
 
 
-@add(f"WITH {LISTED} SELECT rank, doc_id, address FROM hits WHERE {province_sql('address')} = 'Hà Nội'")
+@add(f"WITH {LISTED} SELECT doc_id, address FROM hits WHERE {province_sql('address')} = 'Hà Nội'")
 def province_filter(spark, d):
-    return results.by_province(hit_list(spark, d), "Hà Nội").select("rank", "doc_id", "address")
+    return results.by_province(scored_list(spark, d), "Hà Nội").select("doc_id", "address")
 
 
 @add(f"WITH {LISTED} SELECT province, count(*) AS hits FROM (SELECT {province_sql('address')} AS province FROM hits) WHERE province IS NOT NULL GROUP BY province")
 def province_facet(spark, d):
-    return results.province_facet(hit_list(spark, d))
+    return results.province_facet(scored_list(spark, d))
+
+
+def hit_list(spark, d):
+    """The hits of a search, 1000 at most, with their ranks: what pages are cut from."""
+    return fusion.ranked(scored_list(spark, d), 1000).join(metadata(spark, d), "doc_id")
 
 
-@add(f"WITH {LISTED} SELECT rank, doc_id, company_name FROM hits WHERE rank > 10 AND rank <= 20")
+@add(f"WITH {HITS}, hits AS (SELECT * FROM list WHERE rank <= 1000) SELECT rank, doc_id, company_name FROM hits WHERE rank > 10 AND rank <= 20")
 def page_2(spark, d):
     return results.page(hit_list(spark, d), 2).select("rank", "doc_id", "company_name")
 
@@ -601,7 +681,7 @@ def page_2(spark, d):
 @add(f"""WITH {LISTED} SELECT company_name AS "Tên công ty", tax_code AS "Mã số thuế", address AS "Địa chỉ", representative AS "Người đại diện",
   status AS "Trạng thái", industry AS "Ngành nghề" FROM hits""")
 def export_rows(spark, d):
-    return results.export_rows(hit_list(spark, d))
+    return results.export_rows(scored_list(spark, d))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
@@ -621,16 +701,13 @@ def judged(spark, d):
     texts = {q: x for q, (x, _) in JUDGED.items()}
     lex = bm25.topk_each(bm25.score(shared_index(spark, d), texts), 50)
     vec = vector.topk(table(spark, d, "embeddings"), VECTOR, 50).crossJoin(F.broadcast(spark.createDataFrame([(q,) for q in texts], "qid int")))
-    each = [fusion.ranked(fusion.rrf([lex.where(F.col("qid") == q), vec.where(F.col("qid") == q)], [0.65, 0.35]), 10).withColumn("qid", F.lit(q)) for q in texts]
-    hyb = each[0]
-    for e in each[1:]:
-        hyb = hyb.unionByName(e)
+    hyb = bm25.topk_each(fusion.rrf([lex, vec], [0.65, 0.35], by=["qid"]), 10)
     cols = ["qid", "rank", "doc_id"]
     lists = [df.select(*cols, F.lit(n).alias("engine")) for n, df in (("bm25", lex), ("vector", vec), ("hybrid", hyb))]
     hits = lists[0].unionByName(lists[1]).unionByName(lists[2]).where("rank <= 10")
     words = spark.createDataFrame([(q, ks) for q, (_, ks) in JUDGED.items()], "qid int, keywords array<string>")
-    # hits: ten rows for each query and engine
-    joined = docs(spark, d).select("doc_id", "text").join(F.broadcast(hits), "doc_id").join(F.broadcast(words), "qid")
+    # the judged queries and their keywords are a few rows given here
+    joined = docs(spark, d).select("doc_id", "text").join(hits, "doc_id").join(F.broadcast(words), "qid")
     return joined.select("qid", "engine", "rank", evaluate.is_relevant(F.col("text"), F.col("keywords")).alias("relevant"))
 
 
@@ -657,14 +734,22 @@ def eval_summary(spark, d):
     return evaluate.summary(evaluate.precision(judged(spark, d)))
 
 
-@add(f"""WITH {PRECISION}, wide AS (SELECT qid, coalesce(max(precision) FILTER (engine = 'bm25'), 0) AS b, coalesce(max(precision) FILTER (engine = 'vector'), 0) AS v,
-  coalesce(max(precision) FILTER (engine = 'hybrid'), 0) AS h FROM prec GROUP BY qid)
-  SELECT qid, CASE WHEN b = v AND v = h THEN 'all' ELSE concat_ws(',', CASE WHEN b = greatest(b, v, h) THEN 'bm25' END, CASE WHEN v = greatest(b, v, h) THEN 'vector' END,
-    CASE WHEN h = greatest(b, v, h) THEN 'hybrid' END) END AS winner, h >= greatest(b, v) AS hybrid_ok FROM wide""")
+WINNERS = f"""{PRECISION}, wide AS (SELECT qid, coalesce(max(precision) FILTER (engine = 'bm25'), 0) AS b, coalesce(max(precision) FILTER (engine = 'vector'), 0) AS v,
+  coalesce(max(precision) FILTER (engine = 'hybrid'), 0) AS h FROM prec GROUP BY qid),
+won AS (SELECT qid, CASE WHEN b = v AND v = h THEN 'all' ELSE concat_ws(',', CASE WHEN b = greatest(b, v, h) THEN 'bm25' END, CASE WHEN v = greatest(b, v, h) THEN 'vector' END,
+    CASE WHEN h = greatest(b, v, h) THEN 'hybrid' END) END AS winner, h >= greatest(b, v) AS hybrid_ok FROM wide)"""
+
+
+@add(f"WITH {WINNERS} SELECT * FROM won")
 def eval_winners(spark, d):
     return evaluate.winners(evaluate.precision(judged(spark, d)))
 
 
+@add(f"WITH {WINNERS} SELECT winner, count(*) AS queries, CAST(sum(CAST(hybrid_ok AS INT)) AS BIGINT) AS hybrid_ok FROM won GROUP BY winner")
+def eval_win_counts(spark, d):
+    return evaluate.win_counts(evaluate.winners(evaluate.precision(judged(spark, d))))
+
+
 # --- streaming ------------------------------------------------------------------------------------------------------
 
 

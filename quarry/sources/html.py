@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from html.parser import HTMLParser
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column
@@ -117,40 +118,78 @@ def parse_listing(html: str, base: str = "") -> list[dict]:
     return out
 
 
+#: Fields of a detail page: where microdata names them, and the labels of table cells before them.
+MICRODATA = {"representative": ("founder", "name"), "phone": ("telephone",)}
+LABELS = {"Tình trạng hoạt động": "status", "Ngày cấp": "founded_date"}
+CELL, HEAD, CODE_TITLE = "responsive-table-cell", "responsive-table-cell-head", "Mã"
+
+
+def _said(node: Node | None) -> str | None:
+    return _clean("".join(node.texts())) if node else None
+
+
 def parse_detail(html: str) -> dict:
     """Representative, phone, status, founding date and industries of a detail page."""
     root = tree(html)
-    is_prop = lambda name: lambda n: n.attrs.get("itemprop") == name
-    said = lambda n: _clean("".join(n.texts())) if n else None
-    founder = root.find(is_prop("founder"))
-    out = {"representative": said(founder and founder.find(is_prop("name"))), "phone": said(root.find(is_prop("telephone"))), "status": None, "founded_date": None}
-    for cell in (n for n in root.walk() if n.has("responsive-table-cell-head")):
-        label, value = "".join(cell.texts()), cell.sibling(lambda n: n.has("responsive-table-cell"))
-        if value:
-            if "Tình trạng hoạt động" in label:
-                out["status"] = said(value)
-            elif "Ngày cấp" in label:
-                out["founded_date"] = said(value)
-    listing, found = root.find(lambda n: n.has("nnkd-table")), []
-    for cell in (n for n in listing.walk() if n.has("responsive-table-cell", "responsive-table-cell-head")) if listing else ():
-        code, name = said(cell), cell.sibling(lambda n: n.tag == "div" and n.has("responsive-table-cell"))
-        if code and code != "Mã" and name:
-            found.append({"code": code, "name": said(name)})
-    return out | {"industries_detail": found}
+    out: dict = dict.fromkeys([*MICRODATA, *LABELS.values()])
+    for field, props in MICRODATA.items():
+        node: Node | None = root
+        for prop in props:
+            node = node and node.find(lambda n, prop=prop: n.attrs.get("itemprop") == prop)
+        out[field] = _said(node)
+    heads = [(n, n.sibling(lambda x: x.has(CELL))) for n in root.walk() if n.has(HEAD)]
+    for head, value in heads:
+        field = next((f for label, f in LABELS.items() if label in "".join(head.texts())), None)
+        if field and value:
+            out[field] = _said(value)
+    table = root.find(lambda n: n.has("nnkd-table"))
+    rows = [(_said(n), n.sibling(lambda x: x.tag == "div" and x.has(CELL))) for n in table.walk() if n.has(CELL, HEAD)] if table else []
+    return out | {"industries_detail": [{"code": c, "name": _said(x)} for c, x in rows if c and c != CODE_TITLE and x]}
+
+
+#: Reviews of a company that are read.
+REVIEWS = 10
+
+
+def parse_reviews(html: str, most: int = REVIEWS) -> dict:
+    """The address (URL-decoded) of a review page, and title and content of its first reviews."""
+    root = tree(html)
+    place = root.find(lambda n: n.has("location") and "data-location" in n.attrs)
+    items = [n for n in root.walk() if n.has("content-of-review")][:most]
+    head = lambda n: n.find(lambda x: x.tag == "h3")
+    return {"company_address": unquote_plus(place.attrs["data-location"]) if place else "",
+            "reviews": [{"title": "".join(h.texts()) if (h := head(n)) else "", "content": "".join(n.texts())} for n in items]}
 
 
 COMPANY_ITEMS = "array<struct<company_name:string,tax_code:string,address:string,url:string>>"
 DETAIL = "struct<representative:string,phone:string,status:string,founded_date:string,industries_detail:array<struct<code:string,name:string>>>"
 
 
+REVIEW_PAGE = "struct<company_address:string,reviews:array<struct<title:string,content:string>>>"
+
+
+def _listing(pages: pd.Series, bases: pd.Series) -> pd.Series:
+    return pd.Series([parse_listing(h, b or "") for h, b in zip(pages, bases)], dtype=object)
+
+
+def _detail(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_detail(h) for h in pages], columns=["representative", "phone", "status", "founded_date", "industries_detail"])
+
+
+def _reviews(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_reviews(h) for h in pages], columns=["company_address", "reviews"])
+
+
 def listing(html: Column, base: Column) -> Column:
     """The companies of listing pages."""
-    parse = lambda pages, bases: pd.Series([parse_listing(h, b or "") for h, b in zip(pages, bases)], dtype=object)
-    return F.pandas_udf(parse, COMPANY_ITEMS, F.PandasUDFType.SCALAR)(html, base)
+    return F.pandas_udf(_listing, COMPANY_ITEMS)(html, base)
 
 
 def detail(html: Column) -> Column:
     """The fields of detail pages."""
-    names = ["representative", "phone", "status", "founded_date", "industries_detail"]
-    parse = lambda pages: pd.DataFrame([parse_detail(h) for h in pages], columns=names)
-    return F.pandas_udf(parse, DETAIL, F.PandasUDFType.SCALAR)(html)
+    return F.pandas_udf(_detail, DETAIL)(html)
+
+
+def review_page(html: Column) -> Column:
+    """Address and first reviews of review pages."""
+    return F.pandas_udf(_reviews, REVIEW_PAGE)(html)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quarry import console
 from quarry.operators import bm25, cleaning, evaluate, fusion, index, results, vector
 from quarry.plans.engine import SearchEngine
 
@@ -187,3 +188,49 @@ def test_ivf_topk_holds_recall_for_every_query(spark, sf_dir):
         scores = np.round(units @ units[ids.index(q)], 6)
         hits += len(got[q] & {ids[j] for j in sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:10]})
     assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_segmenter_in_documents_and_engine(spark):
+    join = lambda t: t.lower().replace("hà nội", "hà_nội") if "!" not in t else 1 / 0
+    rows = spark.createDataFrame([(1, "Hà Nội phở"), (2, "Hà Nam nội"), (3, "fails! phở"), (4, None)], "doc_id long, text string")
+    built = index.build(rows, segment=join)
+    assert {r.term for r in built.terms.collect()} == {"hà_nội", "phở", "hà", "nam", "nội", "fails!"}
+    docs = spark.createDataFrame([(i, f"C{i}", str(i), None, None, None, None) for i in (1, 2, 3)], COMPANY)
+    segmented = SearchEngine(built, docs, segment=join)
+    # a query's words count as they stand, too
+    assert {r.doc_id for r in segmented.search("Hà Nội", "bm25").collect()} == {1, 2} and segmented.total("Hà Nội").first().total == 2
+    assert set(bm25.query_tokens("Hà Nội", join)) == {"hà_nội", "hà", "nội"} and SearchEngine(built, docs).total("hà_nội").first().total == 1
+    assert SearchEngine(built, docs).total("phở").first().total == 2 and segmented.total("x", "vector").first().total == 0
+
+
+def test_scores_read_no_lengths_of_other_documents(spark, built, tmp_path):
+    built.write(str(tmp_path / "i"), 2)
+    scored = bm25.score(index.Index.load(spark, str(tmp_path / "i")), {0: "apple date"})
+    assert "doc_stats" not in scored._jdf.queryExecution().toString() and scored.count() == 3
+
+
+def test_vectors_written_encoded_and_chosen(spark, tmp_path):
+    v = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>")
+    assert vector.index_for(v) is None and vector.index_for(v, least=10, nlist=3) is not None
+    vector.build(v, nlist=3).write(str(tmp_path / "cells"))
+    back = spark.read.parquet(str(tmp_path / "cells"))
+    assert sorted((r.vec_id, list(r.embedding)) for r in back.collect()) == sorted((r.vec_id, list(r.embedding)) for r in v.collect())
+    docs = spark.createDataFrame([(i, "x" * i if i else None) for i in range(300)], "doc_id long, text string")
+    encode = lambda texts: np.array([[len(t), len(texts)] for t in texts], dtype=np.float32)
+    got = {r.vec_id: list(r.embedding) for r in vector.encoded(docs, encode, batch=64).collect()}
+    assert len(got) == 300 and all(x[0] == i and x[1] <= 64 for i, x in got.items())
+    assert {r.vec_id for r in vector.encoded(docs, encode, max_docs=5).collect()} == set(range(5))
+
+
+def test_latency_facets_and_names(spark):
+    t = spark.createDataFrame([("bm25", 1.0), ("bm25", 3.0), ("vector", 0.5)], "engine string, seconds double")
+    assert {r.engine: tuple(r)[1:] for r in evaluate.latency(t).collect()} == {"bm25": (2.0, 1.0, 3.0), "vector": (0.5, 0.5, 0.5)}
+    places = spark.createDataFrame([(f"1, {p}",) for p in ("Hà Nội", "Đà Nẵng", "An Giang", "Cần Thơ", "Hà Nội")], "address string")
+    assert [r.province for r in results.facet_names(places).collect()] == ["An Giang", "Cần Thơ", "Đà Nẵng", "Hà Nội"]
+    assert results.export_name("apple trading") == "apple trad.csv"
+
+
+def test_console(engine):
+    lines, said = iter(["", ":help", ":top 1", ":top 999", ":stats", "0123456789", ":quit", "never"]), []
+    console.run(engine, lambda: next(lines), said.append)
+    assert said[1] == said[2] == "top 1" and "total_documents: 3" in said and said[-1].startswith("1. Banana Co") and next(lines) == "never"

@@ -26,6 +26,24 @@ def test_listing_and_detail(spark):
     assert got[1].l == [] and got[1].d.status is None
 
 
+REVIEWS = """<div class="location" data-location="12+Ph%E1%BB%91+Hu%E1%BA%BF"></div>""" + "".join(
+    f"<div class='content-of-review'><h3>Title {i}</h3><p>good {i}</p></div>" for i in range(13)) + "<div class='content-of-review'>none</div>"
+
+
+def test_review_pages(spark):
+    got = spark.createDataFrame([(REVIEWS,), (None,)], "h string").select(html.review_page(F.col("h")).alias("r")).collect()
+    assert got[0].r.company_address == "12 Phố Huế" and [x.title for x in got[0].r.reviews] == [f"Title {i}" for i in range(10)]
+    assert got[0].r.reviews[0].content == "Title 0good 0" and (got[1].r.company_address, got[1].r.reviews) == ("", [])
+
+
+def test_rows_are_numbered_in_order(spark, tmp_path):
+    spark.range(0, 1000, 1, 7).select(F.col("id").cast("string").alias("value")).write.text(str(tmp_path / "n"))
+    got = scan.number_rows(spark.read.text(str(tmp_path / "n"))).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000))
+    scan.write_json_lines(spark.createDataFrame([("Hà Nội", 1)], "a string, b int"), str(tmp_path / "j"))
+    assert [tuple(r) for r in scan.read_json_lines(spark, str(tmp_path / "j"), "a string, b int")[0].collect()] == [("Hà Nội", 1)]
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"company_name": "A", "rating": 1}\n\nnot json\n{"company_name": "B"}\n', encoding="utf-8")
     good, bad = scan.read_json_lines(spark, str(tmp_path / "x.jsonl"))
