@@ -234,3 +234,58 @@ def test_runs_are_covered_to_their_borders(make, length):
     for d in range(len(rows)):
         assert covered(got, d, *at[d])
     assert all((x.start, x.end) == at[x.doc_id] for x in got if x.doc_id % 2)
+
+
+def test_bands_are_tuned():
+    for percent, recall in ((75, 0.99), (75, 0.9), (90, 0.999), (50, 0.95)):
+        bands, rows = substring.tuned(percent, recall)
+        assert bands <= 10 and 1 - (1 - (percent / 100) ** rows) ** bands >= recall
+        assert rows == 16 or 1 - (1 - (percent / 100) ** (rows + 1)) ** 10 < recall, "one row more would ask for more bands"
+    assert substring.tuned(75, 0.99) == (9, 3)
+
+
+def test_near_paragraphs_against_all_pairs(make):
+    """Recall over all pairs of paragraphs of 0.75 or more; nothing below; short passages and partitions change nothing."""
+    r, rows = random.Random(11), []
+    word = lambda: f"w{r.randrange(10**6)}"
+    short = " ".join(word() for _ in range(34))
+    for i in range(120):
+        p = [word() for _ in range(r.randint(60, 90))]
+        q = list(p)
+        for at in r.sample(range(len(p) // 50, len(p)), r.randint(1, 4)):
+            q[at] = word()
+        for j, x in enumerate((p, q)):
+            rows.append((2 * i + j, " ".join(word() for _ in range(20)) + "\n" + " ".join(x) + "\n" + " ".join(word() for _ in range(30)), "s"))
+    for i in range(240, 300):
+        rows.append((i, " ".join(word() for _ in range(40)) + " " + short + " " + " ".join(word() for _ in range(40)), "s"))
+    paras = {i: shingles(t.split("\n")[1]) for i, t, _ in rows if i < 240}
+    runs = lambda i: set(zip(*[rows[i][1].split("\n")[1].split()[k:] for k in range(51)]))
+    alike, near, apart = {}, [], []
+    for a in range(0, 240, 2):
+        s, t = paras[a], paras[a + 1]
+        alike[a] = len(s & t) / len(s | t)
+        (near if alike[a] >= 0.75 else apart).append(a)
+    assert len(near) >= 40 and len(apart) >= 20
+    found = substring.repeated_spans(make(rows)).collect()
+    docs = {x.doc_id for x in found}
+    assert sum({a, a + 1} <= docs for a in near) >= 0.95 * len(near)
+    assert not [a for a in apart if {a, a + 1} & docs and not runs(a) & runs(a + 1)], "less alike, and no run of 51 words"
+    assert not [d for d in docs if d >= 240], "passages of 34 words are left alone"
+    assert sorted(map(tuple, substring.repeated_spans(make(rows, 7)).collect())) == sorted(map(tuple, found))
+
+
+def test_seeds_depend_on_the_text_alone():
+    r = random.Random(13)
+    how = substring.Paragraphs()
+    text = " ".join(f"w{r.randrange(50)}" for _ in range(200)).encode()
+
+    def own(before, after):
+        found = substring.Found([*before, text, *after], how)
+        k = len(before)
+        start, end = found.paragraphs()
+        return [int(p - found.first[k]) for p in found.seeds() if found.text[p] == k], [(int(a - found.first[k]), int(b - found.first[k])) for a, b in zip(start, end) if found.text[a] == k]
+
+    alone = own([], [])
+    for _ in range(60):
+        others = lambda: [" ".join(f"w{r.randrange(50)}" for _ in range(r.choice((0, 3, 39, 40, 45, 51, 90)))).encode() for _ in range(2)]
+        assert own(others(), others()) == alone

@@ -35,3 +35,12 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in clean} == {r["doc_id"] for r in single} and all(r["n_chars"] == len(r["text"]) for r in clean)
     assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in clean} and len(last) == len(mixed)
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).collect()) == sorted(r["doc_id"] for r in last)
+
+
+def test_pipeline_odd(spark, odd, none):
+    """Every stage on nulls, empty and long texts, repeated rows, further columns, and on an empty table."""
+    for (name, stage), rows in zip(corpus_pipeline.STAGES, (0, 7, 8, None, 8)):  # nearly all rows fail here, and so do their hosts
+        assert stage(spark, none, SMALL).count() == 0, name
+        out = stage(spark, odd, SMALL)
+        assert out.columns == odd.columns or name == "pieces"
+        assert rows is None or out.count() == rows, name
