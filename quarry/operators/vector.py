@@ -97,8 +97,10 @@ def _nearness(centroids: np.ndarray, units: np.ndarray) -> np.ndarray:
     return np.argsort((centroids * centroids).sum(axis=1) - 2 * units @ centroids.T, axis=1, kind="stable")
 
 
-def _best(vectors: DataFrame, queries: DataFrame, on: list[str], k: int, vec: str, key: str) -> DataFrame:
-    """query_id, rank, doc_id, score: the best of each query over the rows with equal ``on``, by blocks of queries."""
+def _best(vectors: DataFrame, queries: DataFrame, k: int, vec: str, key: str) -> DataFrame:
+    """query_id, rank, doc_id, score: the best of each query over the vectors of its cells, by groups of bounded size."""
+    vectors, queries = _parted(vectors, queries, key)
+    on = ["cell", "slice", "block"]
 
     def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -116,19 +118,29 @@ def _best(vectors: DataFrame, queries: DataFrame, on: list[str], k: int, vec: st
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
+#: Vectors, and queries, of a group.
 SLICE = 20_000
 
 
-def _sliced(vectors: DataFrame, queries: DataFrame, n: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """Both with a slice: each vector is in one, each query in all, so a group has a bounded number of vectors."""
-    slices = max(1, -(-n // SLICE))
-    return vectors.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices))), queries.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+def _parted(vectors: DataFrame, queries: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both with a slice and a block. A cell's vectors are dealt out to its slices and go to all its blocks, its queries
+    the other way round, so that each pair meets once, and only large cells are split."""
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias(name))
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    cells = F.broadcast(parts(vectors, "slices").join(parts(queries, "blocks"), "cell"))  # a row for each centroid at most
+    v = vectors.join(cells, "cell").withColumn("slice", F.pmod(F.xxhash64(key), F.col("slices"))).withColumn("block", each("blocks"))
+    q = queries.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).withColumn("slice", each("slices"))
+    return v.drop("slices", "blocks"), q.drop("slices", "blocks")
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, doc_id, score: exact, for each row (query_id, query_vector)."""
-    v, q = _sliced(vectors.select(key, vec), queries, vectors.count(), key)
-    return _best(v, q, ["slice"], k, vec, key)
+    one = F.lit(0).alias("cell")
+    return _best(vectors.select(key, vec, one), queries.select("query_id", "query_vector", one), k, vec, key)
 
 
 def neighbours_cells(cells: Cells, queries: DataFrame, k: int, recall: float = 0.95, sample: int = 64, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -151,6 +163,4 @@ def neighbours_cells(cells: Cells, queries: DataFrame, k: int, recall: float = 0
                 yield b.loc[b.index.repeat(nprobe)].assign(cell=near.ravel().astype(np.int32))
 
     asked = queries.select("query_id", "query_vector").mapInPandas(probes, "query_id long, query_vector array<double>, cell int")
-    most = cells.vectors.groupBy("cell").count().agg(F.max("count")).first()[0] or 1
-    v, q = _sliced(cells.vectors.select(key, vec, "cell"), asked, most, key)
-    return _best(v, q, ["cell", "slice"], k, vec, key)
+    return _best(cells.vectors.select(key, vec, "cell"), asked, k, vec, key)

@@ -234,3 +234,23 @@ def test_console(engine):
     lines, said = iter(["", ":help", ":top 1", ":top 999", ":stats", "0123456789", ":quit", "never"]), []
     console.run(engine, lambda: next(lines), said.append)
     assert said[1] == said[2] == "top 1" and "total_documents: 3" in said and said[-1].startswith("1. Banana Co") and next(lines) == "never"
+
+
+def test_split_cells_lose_no_pair(spark, monkeypatch):
+    """Small slices and blocks, a third of the vectors alike, repeated queries' vectors: as brute force over everything."""
+    monkeypatch.setattr(vector, "SLICE", 7)
+    rng = np.random.default_rng(3)
+    m = np.round(rng.normal(size=(60, 4)), 3)
+    m[:20] = m[0]
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id < 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit[:30] @ unit.T, 6)
+    want = sorted((q, r + 1, int(d)) for q in range(30) for r, d in enumerate(np.argsort(-scores[q], kind="stable")[:5]))
+    exact = vector.neighbours(rows, asked, 5).select("query_id", "rank", "doc_id").collect()
+    assert sorted(map(tuple, exact)) == want
+    none = vector.neighbours(rows.where("false"), asked, 5)
+    assert none.count() == 0
+    cells = vector.Cells([[1.0, 0.0, 0.0, 0.0], [-1.0, 0.0, 0.0, 0.0]], rows.withColumn("cell", F.when(F.col("embedding")[0] > 0, 0).otherwise(1)))
+    probed = vector.neighbours_cells(cells, asked, 5, recall=1.0).select("query_id", "rank", "doc_id").collect()
+    assert sorted(map(tuple, probed)) == want
