@@ -125,6 +125,18 @@ def round_pivotal(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFr
         )
 
 
+#: Equal rows that are made by one task.
+EQUAL = 4096
+
+
+def _in_blocks(rows: DataFrame, key: str, times: str, nth: str) -> DataFrame:
+    """Each row as often as ``times`` says, numbered from 1. Blocks are dealt out first, so no task makes all copies of a row."""
+    begun = rows.withColumn("__from_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times), F.lit(EQUAL).cast("long"))))
+    dealt = begun.repartition(F.xxhash64(key, "__from_copy"))
+    last = F.least(F.col("__from_copy") + (EQUAL - 1), F.col(times))
+    return dealt.withColumn(nth, F.explode(F.sequence(F.col("__from_copy"), last))).drop("__from_copy")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 0,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, mark (hash of the text), nth (among equal rows), size, source, source_size, target, copies: a row for each row of ``docs``."""
@@ -132,7 +144,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"),
         F.col(source).cast("string").alias("source"), n_words_of(F.col(text)).alias("size"),
     ).groupBy("doc_id", "mark", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
-    each = sizes.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows")
+    few = sizes.where(F.col("rows") <= EQUAL).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    each = few.unionByName(_in_blocks(sizes.where(F.col("rows") > EQUAL), "mark", "rows", "nth")).drop("rows")
     targets = cut(source_targets(each, weights, share, limit)).withColumnRenamed("source", "__source")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = each.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").select(
@@ -158,5 +171,5 @@ def take(docs: DataFrame, seed: int = 0) -> DataFrame:
     joined = marked.join(share, on)
     alone = joined.where("__rows = 1")
     several = joined.where("__rows > 1").dropDuplicates(["__id", "__mark", "__source"])
-    both = alone.unionByName(several)
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    once = alone.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return once.unionByName(_in_blocks(several, "__mark", "__copies", "__copy")).select(*docs.columns)

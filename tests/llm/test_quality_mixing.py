@@ -100,3 +100,13 @@ def test_mix_odd(odd, none):
     took = mixing.take(odd)
     assert took.columns == odd.columns and mixing.take(none).count() == 0
     assert {r.doc_id for r in took.collect()} <= {4, 5, 6}
+
+
+def test_equal_rows_are_made_in_blocks(make, monkeypatch):
+    rows = [(1, "a b c", "s")] * 20 + [(None, "x y", None)] * 7 + [(i, "d e f g", "t") for i in range(2, 30)]
+    want = check_mix(rows, make(rows))
+    taken = Counter(map(tuple, mixing.take(make(rows)).collect()))
+    monkeypatch.setattr(mixing, "EQUAL", 3)
+    assert check_mix(rows, make(rows)) == want
+    assert Counter(map(tuple, mixing.take(make(rows)).collect())) == taken
+    assert sum(taken.values()) == sum(r[3] for r in want)
