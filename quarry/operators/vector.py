@@ -22,6 +22,12 @@ def l2_normalize(v: Column) -> Column:
     return scaled[0]
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` rounded as SQL does it: scaled, halves away from zero; what becomes zero keeps its sign."""
+    scale = float(10**places)
+    return F.signum(x) * (F.round(F.abs(x) * scale) / scale)
+
+
 def _literal(v: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 

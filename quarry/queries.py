@@ -474,7 +474,7 @@ def vector_topk(spark, d):
 @add(f"SELECT vec_id, list_transform({_UNIT}, lambda x: round(x, 6)) AS unit FROM embeddings")
 def l2_normalize(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", vector.l2_normalize(F.col("embedding")).alias("u"))
-    return e.select("vec_id", F.transform("u", lambda x: F.round(x, 6)).alias("unit"))
+    return e.select("vec_id", F.transform("u", lambda x: vector.rounded(x, 6)).alias("unit"))
 
 
 @add()

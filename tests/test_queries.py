@@ -43,5 +43,14 @@ def test_query_agrees_with_sql(spark, db, sf_dir, name):
     same(spark, db, sf_dir, entry.queries()[name], queries.SQL[name])
 
 
+def test_unit_vectors_that_round_to_zero(spark, tmp_path):
+    """Small negative values become -0.0 in both; halves, zero vectors, nulls and NaN."""
+    rows = [(0, [1.0, -3e-7, 3e-7, -0.0]), (1, [-1.0, -4.999e-7, -5.001e-7, 0.5]), (2, [127.0, -15.0, 5.0, -2.0, 1.0]), (3, [0.0, -0.0]), (4, []), (5, None), (6, [math.nan, 1.0]), (7, [-1e-30, 2e-30])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    same(spark, c, str(tmp_path), queries.l2_normalize, queries.SQL["l2_normalize"])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
