@@ -14,6 +14,9 @@ at which the k + 1st would come.
 Rows: a null text counts as empty: no pieces, no samples. A text with fewer than k segmentations gives all it
 has. Random numbers hash doc_id (a seed of its own for null), place and pass, so reruns and repeated rows agree. An
 empty table gives no rows. Other columns are ignored by ``encode`` and kept by ``with_pieces``.
+
+Results are whole: the ids of the encoding, the text that the library decodes from all of them, and the ids of each
+segmentation; numbers, checksums and the comparison stand beside them and are made from them.
 """
 
 from __future__ import annotations
@@ -260,16 +263,7 @@ class _Encoded:
 
     def clear(self) -> None:
         self.hashes, self.number = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-        self.ids, self.starts, self.same = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=bool)
-
-    def _same(self, texts: list[str], made: list[list[int]]) -> np.ndarray:
-        """Whether each text comes back. Many are decoded at once: each begins with a space, as a word does."""
-        out = np.ones(len(texts), dtype=bool)
-        for a in range(0, len(texts), 512):
-            own = made[a:a + 512]
-            if self.sp.decode([i for ids in own for i in ids]) != " ".join(texts[a:a + 512]):
-                out[a:a + 512] = [x == y for x, y in zip(texts[a:a + 512], self.sp.decode(own, num_threads=1))]
-        return out
+        self.ids, self.starts = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def get(self, own: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> np.ndarray:
         """Numbers of the words with the hashes ``own`` (sorted). text_of: the texts of some of them."""
@@ -284,7 +278,6 @@ class _Encoded:
             numbers = np.arange(len(new)) + len(self.starts) - 1
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, np.fromiter((i for m in made for i in m), dtype=np.int32, count=int(sizes.sum()))])
-            self.same = np.concatenate([self.same, self._same(texts, made)])
             self.hashes, self.number = np.insert(self.hashes, at[new], own[new]), np.insert(self.number, at[new], numbers)
         return self.number[np.searchsorted(self.hashes, own)]
 
@@ -388,22 +381,21 @@ class _Walk:
         nth = np.arange(len(self.which)) - self.bounds[self.text]
         self.key = _stir(self.seed[self.text], nth) if len(nth) else np.zeros(0, dtype=U64)
 
-    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """The library's ids of each text, and whether they decode to it. Texts with spaces in runs or at the
-        edges, or with the space mark, are encoded whole; the rest word by word, as no piece spans a space there."""
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's ids of each text. Texts with spaces in runs or at the edges, or with the space mark, are
+        encoded whole; the rest word by word, as no piece spans a space there."""
         words = self.lattice.words
         named = list(zip(self.starts[self.one].tolist(), self.ends[self.one].tolist()))
         numbers = words.get(self.own, lambda new: [self.joined[a:b] for a, b in (named[i] for i in new.tolist())])[self.which]
         sizes = words.starts[numbers + 1] - words.starts[numbers]
         flat = words.ids[_ranges(words.starts[numbers], sizes)]
-        ends, wrong = _before(sizes), _before(~words.same[numbers])
+        ends = _before(sizes)
         out = []
         for t, a, b in zip(texts, self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
             if t and ("  " in t or t[0] == " " or t[-1] == " " or SPACE_MARK in t):
-                ids = self.lattice.sp.encode(t)
-                out.append((np.array(ids), self.lattice.sp.decode(ids) == t))
+                out.append(np.array(self.lattice.sp.encode(t), dtype=np.int32))
             else:
-                out.append((flat[ends[a]:ends[b]], wrong[b] == wrong[a]))
+                out.append(flat[ends[a]:ends[b]])
         return out
 
     def _random(self, words: np.ndarray, at: np.ndarray, turn: int, use: int) -> np.ndarray:
@@ -601,37 +593,51 @@ def lattice_of(path: str) -> Lattice:
     return Lattice(path)
 
 
-def _checksum(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
-
-
 SCHEMA = ("doc_id long, n_pieces long, ids_crc32 long, decoded_same boolean, sample_pieces array<long>, sample_crc32 array<long>, "
-          "sample_log_prob array<double>, sample_log_inclusion array<double>")
+          "sample_log_prob array<double>, sample_log_inclusion array<double>, piece_ids array<int>, decoded string, sample_ids array<array<int>>")
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def _checksums(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """CRC-32 of each range of ``ids``, as little-endian unsigned 32-bit integers."""
+    flat = np.ascontiguousarray(ids, dtype="<u4")
+    return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.int64())
+
+
+def _lists(bounds: np.ndarray, values) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+
 def _row_batch(doc_id: pa.Array, texts: list[str], lattice: Lattice, k: int) -> pa.RecordBatch:
     walk = _Walk(lattice, texts, doc_id.fill_null(NO_ID).to_numpy())
     encoded = walk.encoded(texts)
+    decoded = lattice.sp.decode([x.tolist() for x in encoded], num_threads=1)
+    ids, bounds = np.concatenate(encoded), _before(np.array([len(x) for x in encoded], dtype=np.int64))
+
     paths, kappa = walk.sampled(k)
     there = np.zeros((len(texts), len(paths)), dtype=bool)
-    size, crc = (np.zeros(there.shape, dtype=np.int64) for _ in range(2))
+    size = np.zeros(there.shape, dtype=np.int64)
     log, score = (np.zeros(there.shape) for _ in range(2))
-    for j, p in enumerate(paths):
-        ids, bounds = walk.ids(p)
-        flat = ids.astype("<u4")
-        there[p.texts, j], size[p.texts, j], log[p.texts, j] = True, np.diff(bounds), walk.log_probs(p)
-        crc[p.texts, j] = [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    made = [walk.ids(p) for p in paths]
+    for j, (p, (_, own)) in enumerate(zip(paths, made)):
+        there[p.texts, j], size[p.texts, j], log[p.texts, j] = True, np.diff(own), walk.log_probs(p)
         score[p.texts, j] = inclusion(log[p.texts, j], kappa[p.texts])
-    offsets = pa.array(_before(there.sum(axis=1)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[there])) for x in (size, crc, log, score)]
-    own = [pa.array([len(x) for x, _ in encoded], pa.int64()), pa.array([_checksum(x) for x, _ in encoded], pa.int64()), pa.array([bool(x) for _, x in encoded], pa.bool_())]
-    return pa.RecordBatch.from_arrays([doc_id, *own, *lists], names=_NAMES)
+    begin = _before(size.ravel())  # where the ids of each sample lie, text by text; none where there is no sample
+    sampled = np.empty(begin[-1], dtype=np.int32)
+    for j, (p, (own, _)) in enumerate(zip(paths, made)):
+        sampled[_ranges(begin[p.texts * len(paths) + j], size[p.texts, j])] = own
+
+    offsets, ends = _before(there.sum(axis=1)), _before(size[there])
+    lists = [_lists(offsets, x) for x in (pa.array(size[there]), _checksums(sampled, ends), pa.array(log[there]), pa.array(score[there]))]
+    digests = [pa.array(np.diff(bounds)), _checksums(ids, bounds), pa.array([x == y for x, y in zip(decoded, texts)], pa.bool_())]
+    whole = [_lists(bounds, pa.array(ids, pa.int32())), pa.array(decoded, pa.string()), _lists(offsets, _lists(ends, pa.array(sampled)))]
+    return pa.RecordBatch.from_arrays([doc_id, *digests, *lists, *whole], names=_NAMES)
 
 
 def encode(docs: DataFrame, model: str, k: int = 2) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): pieces and checksum of the encoding, whether decoding gives
-    the text again, and the same of ``k`` sampled segmentations with their log-probabilities and inclusion scores."""
+    """A row for each row of ``docs`` (doc_id, text): the ids of its pieces, the text decoded from them, the ids of ``k``
+    sampled segmentations with their log-probabilities and inclusion scores; numbers and checksums of all ids, and
+    whether decoding gives the text again."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone("pieces", lattice_of.cache_clear)

@@ -13,6 +13,7 @@ from fixtures import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from quarry.llm import chat, pieces, secrets, token_files, toxicity
 from quarry.llm.common import table
 
@@ -255,6 +256,24 @@ def test_pieces(spark, odd, none):
     assert all(r.back == r.text for r in again.collect())
 
 
+def test_pieces_are_whole(spark, odd):
+    """Ids, decoded text and the ids of every sample come out, and the digests are theirs; so in the pipeline's last stage."""
+    rows = table(spark, SMALL, "documents").limit(40).select("doc_id", "text").unionByName(odd.select((odd.doc_id + 10**6).alias("doc_id"), "text"))
+    sp, key = pieces.lattice_of(SP).sp, lambda r: (r.doc_id is not None, r.doc_id or 0)
+    texts, crc = {key(r): r.text or "" for r in rows.collect()}, lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert texts[True, 10**6 + 2] == "" and any("  " in t or t[:1] == " " for t in texts.values())
+    for got, k in ((pieces.encode(rows, SP, 3).collect(), 3), (corpus_pipeline.encode_pieces(spark, rows, SMALL).collect(), 2)):
+        assert len(got) == rows.count()
+        for r in got:
+            t = texts[key(r)]
+            assert r.piece_ids == sp.encode(t) and r.decoded == sp.decode(r.piece_ids) and r.decoded_same == (r.decoded == t)
+            assert (r.n_pieces, r.ids_crc32) == (len(r.piece_ids), crc(r.piece_ids))
+            assert (len(r.sample_ids) == k if t.strip() else len(r.sample_ids) <= len(t)) and len(set(map(tuple, r.sample_ids))) == len(r.sample_ids)
+            assert all(sp.decode(x) == t for x in r.sample_ids)
+            assert (r.sample_pieces, r.sample_crc32) == ([len(x) for x in r.sample_ids], [crc(x) for x in r.sample_ids])
+            assert len(r.sample_ids) == len(r.sample_log_prob) == len(r.sample_log_inclusion)
+
+
 def test_token_files(spark, odd, none, tmp_path):
     rows = table(spark, SMALL, "documents").select("doc_id", "text").unionByName(odd.where("doc_id is null or doc_id > 3").select((odd.doc_id + 10**6).alias("doc_id"), "text"))
     from tokenizers import Tokenizer
