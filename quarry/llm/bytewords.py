@@ -5,10 +5,12 @@ Hashes are polynomials over random byte values, mixed at the end. They are the s
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 #: Characters (bytes) that are worked on at once.
@@ -87,9 +89,13 @@ _kept: dict[str, Callable[[], None]] = {}
 
 
 def alone(name: str, clear: Callable[[], None] | None = None) -> None:
-    """To be called where an operator's work begins in a Python worker: what others keep there (told by ``clear``) is let go."""
+    """To be called where an operator's work begins in a Python worker: what others keep there (told by ``clear``) is let go,
+    and memory that is free by now goes back to the system, where its C library can do that."""
     for other in [k for k in _kept if k != name]:
         _kept.pop(other)()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
     if clear:
         _kept[name] = clear
 

@@ -74,10 +74,15 @@ def set_class(s: np.ndarray) -> tuple[int, int]:
     return one, two
 
 
+#: Bytes of texts that are made sets at once, and keys that are packed at once: a worker holds some 16 times the bytes, and
+#: rows of packed keys stay small beside the regions of the executors' heaps.
+BYTES_AT_ONCE, KEYS_AT_ONCE = 1 << 18, 1 << 19
+
+
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """doc_id and sets of a batch (doc_id, text), some rows at a time."""
     texts = batch.column(1).cast(pa.binary()).fill_null(b"")
-    for a, b in chunks(pc.binary_length(texts).to_numpy()):
+    for a, b in chunks(pc.binary_length(texts).to_numpy(), BYTES_AT_ONCE):
         yield batch.column(0).slice(a, b - a), shingle_sets(texts.slice(a, b - a).to_pylist(), words)
 
 
@@ -119,7 +124,7 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _sign(words: int, parts: int, most: int = 1 << 21) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+def _sign(words: int, parts: int, most: int = KEYS_AT_ONCE) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     """A row for each document, and rows of packed shingle keys for each part; all are dealt by part."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -153,15 +158,15 @@ def _count(parts: int, width: int) -> Callable[[Batches], Iterator[pa.RecordBatc
     """Documents' rows as they are; bitmaps of each part's range of keys. A part's keys are in one partition."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
             keyed = batch.column(_NAMES.index("keys")).is_valid()
             yield batch.filter(pc.invert(keyed))
             rows = batch.filter(keyed)
             for part, blob in zip(rows.column(_NAMES.index("part")).to_pylist(), rows.column(_NAMES.index("keys")).to_pylist()):
-                held.setdefault(part, []).append(keycounts.unpacked(blob))
+                held.setdefault(part, []).append(blob)
         for part in sorted(held):
-            keys, counts = np.unique(np.concatenate(held.pop(part)), return_counts=True)
+            keys, counts = np.unique(np.concatenate([keycounts.unpacked(blob) for blob in held.pop(part)]), return_counts=True)
             often = [keycounts.part_bits(keys[counts >= n], part, parts, width - FEWER) for n in OFTEN]
             twice = keycounts.part_bits(keys[counts >= 2], part, parts, width)
             yield _rows(1, part=pa.array([part], pa.int32()), twice=pa.array([twice], pa.binary()), often=pa.array([often], pa.list_(pa.binary())))

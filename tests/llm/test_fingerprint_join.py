@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from fixtures import SMALL
 from pyspark.sql import functions as F
@@ -289,3 +290,11 @@ def test_seeds_depend_on_the_text_alone():
     for _ in range(60):
         others = lambda: [" ".join(f"w{r.randrange(50)}" for _ in range(r.choice((0, 3, 39, 40, 45, 51, 90)))).encode() for _ in range(2)]
         assert own(others(), others()) == alone
+
+
+def test_keys_are_packed_in_small_rows():
+    """A worker holds half a million keys at once, and loses none."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(30_000)) for i in range(40)]
+    batches = list(ngram_join._sign(5, 8)([pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc_id", "text"])]))
+    blobs = [[len(b) for b in x.column("keys").to_pylist() if b is not None] for x in batches]
+    assert sum(map(sum, blobs)) == 5 * 40 * 29_996 and max(map(sum, blobs)) < 4 << 20
