@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's encoding and sampled segmentations. A null text counts as empty."""
+    """Every document's ids, the text decoded from them and sampled segmentations, with their digests. A null text counts as empty."""
     return pieces.encode(ship(spark) and docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -44,3 +44,11 @@ def test_pipeline_odd(spark, odd, none):
         out = stage(spark, odd, SMALL)
         assert out.columns == odd.columns or name == "pieces"
         assert rows is None or out.count() == rows, name
+
+
+def test_pipeline_gives_its_texts(spark, odd):
+    """What leaves the last stage are the documents themselves, repeated rows included: ids, text, samples."""
+    docs = odd.where("doc_id is not null")
+    last = corpus_pipeline.encode_pieces(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id, r.decoded) for r in last) == sorted((r.doc_id, r.text or "") for r in docs.collect())
+    assert all(len(r.piece_ids) == r.n_pieces and [len(x) for x in r.sample_ids] == r.sample_pieces for r in last)
