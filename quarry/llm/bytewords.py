@@ -88,14 +88,19 @@ def _lower() -> bytes:
 _kept: dict[str, Callable[[], None]] = {}
 
 
+def give_back() -> None:
+    """Memory that is free by now goes back to the system, where its C library can do that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def alone(name: str, clear: Callable[[], None] | None = None) -> None:
     """To be called where an operator's work begins in a Python worker: what others keep there (told by ``clear``) is let go,
-    and memory that is free by now goes back to the system, where its C library can do that."""
+    and so is memory that is free by now."""
     for other in [k for k in _kept if k != name]:
         _kept.pop(other)()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    give_back()
     if clear:
         _kept[name] = clear
 

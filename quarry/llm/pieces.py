@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.bytewords import U64, alone, chunks, mix, powers
+from quarry.llm.bytewords import U64, alone, chunks, give_back, mix, powers
 
 SPACE_MARK = "▁"
 RANK_SHIFT = 10.0
@@ -41,7 +41,11 @@ _P, _Q = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 #: The seed of rows without an id.
 NO_ID = -0x5EED5EED5EED5EED
 #: Nodes of lattices and words that a Python worker keeps (at about 50 bytes each), and nodes made at once.
-KEPT_NODES, KEPT_WORDS, AT_ONCE = 2 << 20, 1 << 20, 1 << 16
+KEPT_NODES, KEPT_WORDS, AT_ONCE = 3 << 19, 1 << 19, 1 << 16
+#: Edges of a node for which room is kept.
+USUAL_EDGES = 4
+#: Bytes of text that are walked at once; the arrays of a walk take about a hundred times as much.
+TEXT_AT_ONCE = 1 << 17
 
 
 @dataclass
@@ -209,7 +213,8 @@ class _Nodes:
 
     def clear(self) -> None:
         self.hashes, self.first = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-        self.start, self.edges, self.used = np.zeros(1, dtype=np.int64), Edges.room(0), 0
+        # the system gives memory only to what is written: room kept ahead costs nothing, and copies are rare
+        self.start, self.edges, self.used = np.zeros(self.most + 1, dtype=np.int64), Edges.room(USUAL_EDGES * self.most), 0
 
     def get(self, lattice: Lattice, codes: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The first node of each of the words with the hashes ``own`` (sorted)."""
@@ -644,8 +649,9 @@ def encode(docs: DataFrame, model: str, k: int = 2) -> DataFrame:
         lattice = lattice_of(model)
         for batch in batches:
             texts = batch.column(1).fill_null("")
-            for a, b in chunks(pc.binary_length(texts).to_numpy()):
+            for a, b in chunks(pc.binary_length(texts).to_numpy(), TEXT_AT_ONCE):
                 yield _row_batch(batch.column(0).slice(a, b - a), texts.slice(a, b - a).to_pylist(), lattice, k)
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

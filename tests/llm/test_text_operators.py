@@ -2,7 +2,10 @@
 
 import itertools
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -358,3 +361,35 @@ def test_scan_agrees_with_a_plain_one(spark):
 def test_thresholds_keep_the_recall():
     strict, loose = secrets.train(), secrets.train(recall=1.0)
     assert all(a <= b for a, b in zip(loose.thresholds, strict.thresholds)) and min(loose.thresholds) < 0.5
+
+
+MEASURE = """
+import random, re
+import pyarrow as pa
+from quarry.llm import pieces
+
+def held():
+    return sum(map(int, re.findall(r"(?:Anonymous|Shmem\\w*): +(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+class Docs:
+    def __getattr__(self, _):
+        return lambda *a: self
+    def mapInArrow(self, run, schema):
+        return run
+
+pieces.F = Docs()
+pieces.Docs, r, most, n = Docs, random.Random(1), 0, 0
+word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(3, 12)))
+texts = [" ".join(word() for _ in range(450)) for _ in range(1000)]
+start = held()
+for batch in pieces.encode(Docs(), MODEL)([pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])]):
+    most, n = max(most, held()), n + len(batch)
+print(n, most - start)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="needs Linux")
+def test_pieces_hold_little_memory():
+    """A worker on 3.4 MB of text: every row comes out, and what is held besides stays small."""
+    got = subprocess.run([sys.executable, "-c", f"MODEL = {SP!r}" + MEASURE], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(got[-2]) == 1000 and int(got[-1]) < 160
