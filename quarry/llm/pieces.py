@@ -41,11 +41,11 @@ _P, _Q = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 #: The seed of rows without an id.
 NO_ID = -0x5EED5EED5EED5EED
 #: Nodes of lattices and words that a Python worker keeps (at about 50 bytes each), and nodes made at once.
-KEPT_NODES, KEPT_WORDS, AT_ONCE = 3 << 19, 1 << 19, 1 << 16
+KEPT_NODES, KEPT_WORDS, AT_ONCE = 2 << 20, 1 << 20, 1 << 16
 #: Edges of a node for which room is kept.
 USUAL_EDGES = 4
-#: Bytes of text that are walked at once; the arrays of a walk take about a hundred times as much.
-TEXT_AT_ONCE = 1 << 17
+#: Bytes of text that are walked at once; the arrays of a walk take many times as much.
+TEXT_AT_ONCE = 1 << 18
 
 
 @dataclass
