@@ -22,9 +22,10 @@ segmentation; numbers, checksums and the comparison stand beside them and are ma
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, fields
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -119,6 +120,7 @@ class Lattice:
         self.slots = np.full(1 << self.SLOT_BITS, -1, dtype=np.int32)
         self.slots[slots] = np.arange(len(slots))
         self.slots[np.flatnonzero(np.bincount(slots, minlength=1 << self.SLOT_BITS) > 1)] = -2
+        self.single = self.look_up(mix(np.arange(1 << 16, dtype=U64)))
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """Places in hashes; -1 where nothing begins so."""
@@ -129,6 +131,13 @@ class Lattice:
         at[(at >= 0) & (self.hashes[at] != h)] = -1
         return at
 
+    def _singles(self, chars: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """``look_up`` of single characters."""
+        at = self.single[np.minimum(chars, len(self.single) - 1)]
+        far = np.flatnonzero(chars >= len(self.single))
+        at[far] = self.look_up(mixed[far])
+        return at
+
     def edges(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, Edges]:
         """Number of edges of each node, and the edges: the lattices of words (ranges of codes, each after a space mark).
 
@@ -148,55 +157,60 @@ class Lattice:
         inner = np.flatnonzero(at)
         chars[inner] = codes[starts[by][word[inner]] + at[inner] - 1]
         mixed = mix(chars.astype(U64))
+        after = word + np.repeat(np.append(0, base[:most - 1]), many)  # the next node of the word, or the end of all
+        after[:many[0]] = total
 
         degree, found = np.zeros(total, dtype=np.int64), []
-        live, h = np.arange(total), np.zeros(total, dtype=U64)
+        live = at_char = np.arange(total)
         for n in range(1, self.longest + 1):
             if n > 1:
-                on = left[live] >= n
-                live, h = live[on], h[on]
-            if not len(live):
-                break
-            h = h * _P + mixed[base[left[live] - n] + word[live]]
-            k = self.look_up(h)
-            on = k >= 0
-            live, h, k = live[on], h[on], self.piece_of[k[on]]
-            hit = k >= 0
-            node, ids, logs = live[hit], self.ids[k[hit]], self.logs[k[hit]]
+                at_char = after[at_char]
+                h = h * _P + mixed[at_char]
+                k = self.look_up(h)
+            else:
+                h, k = mixed, self._singles(chars, mixed)
+            on = np.flatnonzero((k >= 0) & (left[live] > n))  # further on there is more of the word
+            own = self.piece_of[k]
+            hit = np.flatnonzero((k >= 0) & (own >= 0))
+            own = own[hit]
+            node, ids, logs = live[hit], self.ids[own], self.logs[own]
+            to = after[at_char[hit]]
             if n == 1:  # characters without a piece of their own
                 alone = np.ones(total, dtype=bool)
                 alone[node] = False
                 alone = np.flatnonzero(alone)
                 c = chars[alone]
-                node = np.concatenate([node, alone])
+                node, to = np.concatenate([node, alone]), np.concatenate([to, after[alone]])
                 ids, logs = np.concatenate([ids, -2 - c]), np.concatenate([logs, self.byte_log * _utf8_size(c)])
-            found.append((node, degree[node], ids, logs))
-            degree[node] += 1
+            rank = degree[node]
+            found.append((node, rank, ids, logs, to))
+            degree[node] = rank + 1
+            if not len(on):
+                break
+            live, at_char, h = live[on], at_char[on], h[on]
         start = _before(degree)
-        log, size = np.empty(start[-1]), np.empty(start[-1], dtype=np.uint8)
-        piece, to = np.empty(start[-1], dtype=np.int32), np.empty(start[-1], dtype=np.int64)
-        for n, (node, rank, ids, logs) in enumerate(found, 1):
-            p = start[node] + degree[node] - 1 - rank
-            log[p], size[p], piece[p] = logs, n, ids
-            to[p] = np.where(left[node] > n, base[np.maximum(left[node] - n - 1, 0)] + word[node], total)
+        place = _before(nodes)[:-1][by][word] + at  # where a node, and then its edges, lie in the order of the words
+        degree_of = np.empty(total, dtype=np.int64)
+        degree_of[place] = degree
+        place = _before(degree_of)[place]
+        made, log, to_ = Edges.room(int(start[-1])), np.empty(start[-1]), np.empty(start[-1], dtype=np.int64)
+        last, last_place = start[1:] - 1, place + degree - 1
+        for n, (node, rank, ids, logs, to) in enumerate(found, 1):
+            p = last[node] - rank
+            log[p], to_[p] = logs, to
+            p = last_place[node] - rank
+            made.size[p], made.piece[p] = n, ids
 
         beta = np.zeros(total + 1)  # the last is the end of a word
         for a, b in zip(base[:-1].tolist(), base[1:].tolist()):
             s, t = int(start[a]), int(start[b])
-            x, first, own = log[s:t] + beta[to[s:t]], start[a:b] - s, degree[a:b]
+            x, first, own = log[s:t] + beta[to_[s:t]], start[a:b] - s, degree[a:b]
             top = np.maximum.reduceat(x, first)
             beta[a:b] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, own)), first))
             log[s:t] = x - np.repeat(beta[a:b], own)
 
-        first = np.empty(total, dtype=np.int64)  # where a node lies in the order of the words
-        first = _before(nodes)[:-1][by][word] + at
-        own = np.empty(total, dtype=np.int64)
-        own[first] = degree
-        place = np.repeat(_before(own)[:-1][first] - start[:-1], degree) + np.arange(start[-1])
-        made = Edges.room(len(place))
-        for to_, from_ in zip(made.columns(), (log, size, piece)):
-            to_[place] = from_
-        return own, made
+        made.log[np.repeat(place - start[:-1], degree) + np.arange(start[-1])] = log
+        return degree_of, made
 
 
 def _utf8_size(c: np.ndarray) -> np.ndarray:
@@ -204,8 +218,9 @@ def _utf8_size(c: np.ndarray) -> np.ndarray:
 
 
 class _Nodes:
-    """Lattices of the words met so far, by hash; all are dropped before there are more than ``most`` nodes, but for
-    those of one chunk of texts, which are kept while it is worked on."""
+    """Lattices of the words met so far, by hash. Before there are more than ``most`` nodes, the words that were met in one
+    chunk of texts only are dropped, and of the rest those met most often are kept, half of the room at most. The words of a
+    chunk are all kept while it is worked on."""
 
     def __init__(self, most: int = KEPT_NODES):
         self.most = most
@@ -213,22 +228,45 @@ class _Nodes:
 
     def clear(self) -> None:
         self.hashes, self.first = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        #: Number of nodes of each word, and of chunks that had it again (halved whenever words are dropped).
+        self.size, self.met = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
         # the system gives memory only to what is written: room kept ahead costs nothing, and copies are rare
         self.start, self.edges, self.used = np.zeros(self.most + 1, dtype=np.int64), Edges.room(USUAL_EDGES * self.most), 0
 
     def get(self, lattice: Lattice, codes: np.ndarray, own: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The first node of each of the words with the hashes ``own`` (sorted)."""
         at, known = _known(self.hashes, own)
-        if self.used and self.used + int((sizes[~known] + 1).sum()) > self.most:
-            self.clear()
-            at, known = _known(self.hashes, own)
+        for drop in (self._drop, self.clear):
+            if self.used and self.used + int((sizes[~known] + 1).sum()) > self.most:
+                drop()
+                at, known = _known(self.hashes, own)
+        self.met[at[known]] += 1
         new = np.flatnonzero(~known)
         if len(new):
-            first = _before(sizes[new] + 1)[:-1] + self.used
-            for a, b in chunks(sizes[new] + 1, AT_ONCE):
+            size = sizes[new] + 1
+            made = (own[new], _before(size)[:-1] + self.used, size, np.zeros(len(new), dtype=np.int32))
+            for a, b in chunks(size, AT_ONCE):
                 self._append(*lattice.edges(codes, starts[new[a:b]], sizes[new[a:b]]))
-            self.hashes, self.first = np.insert(self.hashes, at[new], own[new]), np.insert(self.first, at[new], first)
-        return self.first[np.searchsorted(self.hashes, own)]
+            self.hashes, self.first, self.size, self.met = _inserted((self.hashes, self.first, self.size, self.met), at[new], made)
+        return self.first[at + _before(~known)[:-1]]
+
+    def _drop(self) -> None:
+        often = np.flatnonzero(self.met)
+        often = often[np.argsort(-self.met[often], kind="stable")]
+        often = often[np.cumsum(self.size[often]) <= self.most // 2]
+        kept = np.sort(often)
+        by = kept[np.argsort(self.first[kept])]  # in the order of their nodes, which move to the front
+        self.used = 0
+        for a, b in chunks(self.size[by], AT_ONCE):
+            nodes, size = _ranges(self.first[by[a:b]], self.size[by[a:b]]), self.size[by[a:b]]
+            begin, degree = self.start[nodes], self.start[nodes + 1] - self.start[nodes]
+            edges, held = _ranges(begin, degree), int(self.start[self.used])
+            for x in self.edges.columns():
+                x[held:held + len(edges)] = x[edges]
+            self.first[by[a:b]] = self.used + _before(size)[:-1]
+            self.start[self.used + 1:self.used + len(nodes) + 1] = held + np.cumsum(degree)
+            self.used += len(nodes)
+        self.hashes, self.first, self.size, self.met = self.hashes[kept], self.first[kept], self.size[kept], self.met[kept] >> 1
 
     def _append(self, degree: np.ndarray, edges: Edges) -> None:
         held = int(self.start[self.used])
@@ -250,6 +288,19 @@ def _fit(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _inserted(columns: Sequence[np.ndarray], at: np.ndarray, new: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """``columns`` with the values ``new`` before the (ascending) places ``at``."""
+    total = len(columns[0]) + len(at)
+    place = at + np.arange(len(at))
+    old = np.ones(total, dtype=bool)
+    old[place] = False
+    out = []
+    for x, y in zip(columns, new):
+        out.append(np.empty(total, dtype=x.dtype))
+        out[-1][place], out[-1][old] = y, x
+    return out
+
+
 def _known(table: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``own`` in a sorted table, and which are there."""
     at = np.searchsorted(table, own)
@@ -268,7 +319,7 @@ class _Encoded:
 
     def clear(self) -> None:
         self.hashes, self.number = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-        self.ids, self.starts = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.ids, self.starts, self.used = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64), 0
 
     def get(self, own: np.ndarray, text_of: Callable[[np.ndarray], list[str]]) -> np.ndarray:
         """Numbers of the words with the hashes ``own`` (sorted). text_of: the texts of some of them."""
@@ -279,12 +330,14 @@ class _Encoded:
         if len(new):
             texts = text_of(new)
             made = self.sp.encode(texts, num_threads=1)
-            sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-            numbers = np.arange(len(new)) + len(self.starts) - 1
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for m in made for i in m), dtype=np.int32, count=int(sizes.sum()))])
-            self.hashes, self.number = np.insert(self.hashes, at[new], own[new]), np.insert(self.number, at[new], numbers)
-        return self.number[np.searchsorted(self.hashes, own)]
+            ends = int(self.starts[self.used]) + np.cumsum(np.fromiter(map(len, made), dtype=np.int64, count=len(made)))
+            numbers = np.arange(len(new)) + self.used
+            self.starts, self.ids = _fit(self.starts, self.used + len(new) + 1), _fit(self.ids, int(ends[-1]))
+            self.ids[self.starts[self.used]:ends[-1]] = np.fromiter(chain.from_iterable(made), dtype=np.int32)
+            self.starts[self.used + 1:self.used + len(new) + 1] = ends
+            self.used += len(new)
+            self.hashes, self.number = _inserted((self.hashes, self.number), at[new], (own[new], numbers))
+        return self.number[at + _before(~known)[:-1]]
 
 
 def _stir(h: np.ndarray, x) -> np.ndarray:
@@ -293,20 +346,32 @@ def _stir(h: np.ndarray, x) -> np.ndarray:
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1)."""
-    return ((h >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    """Numbers in (0, 1]; 1 is what the very last value is rounded to."""
+    x = (h >> U64(11)).astype(np.float64)
+    x += 0.5
+    x *= 1 / float(1 << 53)
+    return x
 
 
 #: Complements below this are summed.
 SMALL = 1e-4
+#: Random numbers of branches are held below 1, at the double before it, so no Gumbel variable of mass 1 is above 36.75. Sums of
+#: logarithms may be off by much less than the rest.
+MOST_U, MOST_G = 1 - 2.0**-53, 38.0
+#: Steps of a segmentation whose branches are looked at first.
+FIRST_STEPS = 24
 #: What a random number is for.
 STEP, BRANCH, ROOT, CHOICE, REST = range(5)
 
 
+def _use(turn: int, use: int) -> U64:
+    return U64(((turn << 3) + use) * int(_P) & 0xFFFFFFFFFFFFFFFF)
+
+
 @dataclass
 class _Paths:
-    """One segmentation of each of some ``texts``: steps (word, node, edge), those of text k from ``bounds[k]`` on, and
-    the perturbed value ``g`` of each."""
+    """One segmentation of each of some ``texts``: steps (word, node, edge), those of text k from ``bounds[k]`` on, the
+    perturbed value ``g`` of each, and the logarithm of the probability of each step."""
 
     texts: np.ndarray
     bounds: np.ndarray
@@ -314,6 +379,7 @@ class _Paths:
     node: np.ndarray
     edge: np.ndarray
     g: np.ndarray
+    log: np.ndarray
 
 
 @dataclass
@@ -340,22 +406,11 @@ def _cut_gumbel(log_mass: np.ndarray, below: np.ndarray, u: np.ndarray) -> np.nd
     return log_mass - np.logaddexp(log_mass - below, np.log(-np.log(u)))
 
 
-def _largest(values: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """Places of the ``n`` largest finite values in each range of ``bounds``."""
-    if n > 3:
-        counts = np.diff(bounds)
-        order = np.lexsort((-values, np.repeat(np.arange(len(counts)), counts)))
-        found = order[np.arange(len(order)) - np.repeat(bounds[:-1], counts) < n]
-        return found[np.isfinite(values[found])]
-    values, out = values.copy(), []
-    for _ in range(n):
-        top = np.maximum.reduceat(values, bounds[:-1])
-        hit = np.flatnonzero((values == np.repeat(top, np.diff(bounds))) & np.isfinite(values))
-        group = np.searchsorted(bounds, hit, side="right")
-        hit = hit[np.concatenate([[True], group[1:] != group[:-1]])] if len(hit) else hit
-        values[hit] = -np.inf
-        out.append(hit)
-    return np.concatenate(out)
+def _largest(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` largest finite values of each group, by group, the largest first."""
+    order = np.lexsort((-values, group))
+    own = group[order]
+    return order[(np.arange(len(own)) - np.searchsorted(own, own) < n) & np.isfinite(values[order])]
 
 
 class _Walk:
@@ -390,8 +445,8 @@ class _Walk:
         """The library's ids of each text. Texts with spaces in runs or at the edges, or with the space mark, are
         encoded whole; the rest word by word, as no piece spans a space there."""
         words = self.lattice.words
-        named = list(zip(self.starts[self.one].tolist(), self.ends[self.one].tolist()))
-        numbers = words.get(self.own, lambda new: [self.joined[a:b] for a, b in (named[i] for i in new.tolist())])[self.which]
+        named = lambda new: [self.joined[a:b] for a, b in zip(self.starts[self.one[new]].tolist(), self.ends[self.one[new]].tolist())]
+        numbers = words.get(self.own, named)[self.which]
         sizes = words.starts[numbers + 1] - words.starts[numbers]
         flat = words.ids[_ranges(words.starts[numbers], sizes)]
         ends = _before(sizes)
@@ -407,7 +462,7 @@ class _Walk:
         h = at.astype(U64)
         h *= _Q
         h += self.key[words]
-        h += U64(((turn << 3) + use) * int(_P) & 0xFFFFFFFFFFFFFFFF)
+        h += _use(turn, use)
         return _unit(mix(h))
 
     def _rest(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -427,69 +482,98 @@ class _Walk:
         return _unit(_stir(self.seed[texts], np.full(len(texts), -1 - (turn << 3) - use)))
 
     def steps(self, words: np.ndarray, at: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """word, node, edge of the steps from node ``at`` of each of ``words`` to its end."""
+        """node and edge of the steps from node ``at`` of each of ``words`` to its end, and where those of each word begin."""
+        start, log, size = self.start, self.edges.log, self.edges.size
         rounds, count = [], np.zeros(len(words), dtype=np.int64)
-        row, own = np.arange(len(words)), words
+        row, first = np.arange(len(words)), self.first[words]
+        node, end = first + at, first + self.size[words]
+        # the random number of a word's node ``at``, told by the node itself
+        key = self.key[words] - first.view(U64) * _Q + _use(turn, STEP)
         while len(row):
-            node = self.first[own] + at
-            e, u = self.start[node], self._random(own, at, turn, STEP)
-            u -= np.exp(self.edges.log[e])
+            h = node.view(U64) * _Q
+            h += key
+            e, u = start.take(node), _unit(mix(h))
+            u -= np.exp(log.take(e))
             on = np.flatnonzero(u >= 0)
-            left, last = u[on], self.start[node[on] + 1] - 1
+            left, last = u[on], start.take(node[on] + 1) - 1
             while len(on):  # what is left of u is larger than the edges so far
-                more = np.flatnonzero((left >= 0) & (e[on] < last))
-                on, left, last = on[more], left[more], last[more]
-                e[on] += 1
-                left -= np.exp(self.edges.log[e[on]])
+                own = e[on]
+                more = np.flatnonzero((left >= 0) & (own < last))
+                on, left, last, own = on[more], left[more], last[more], own[more] + 1
+                e[on] = own
+                left -= np.exp(log.take(own))
             rounds.append((row, node, e))
             count[row] += 1
-            at = at + self.edges.size[e]
-            more = at < self.size[own]
-            row, own, at = row[more], own[more], at[more]
+            node = node + size.take(e)
+            more = np.flatnonzero(node < end)
+            row, node, end, key = row[more], node[more], end[more], key[more]
         begin = _before(count)
         nodes, edges = np.empty(begin[-1], dtype=np.int64), np.empty(begin[-1], dtype=np.int64)
         for k, (row, node, e) in enumerate(rounds):
-            nodes[begin[row] + k], edges[begin[row] + k] = node, e
-        return np.repeat(words, count), nodes, edges
+            place = begin.take(row)
+            place += k
+            nodes[place], edges[place] = node, e
+        return nodes, edges, begin
 
     def left_open(self, paths: _Paths, turn: int, since: np.ndarray, want: int) -> _Open:
         """The ``want`` best of the branches that these paths leave out from step ``since`` (of each) on.
 
-        Where an edge leaves ``SMALL`` or more to the others, that is the difference to 1. Where it leaves less, the
-        difference would be rounding errors: the others are summed, unless even ``SMALL`` would not be among the best.
+        The first steps are looked at, and then all those whose bound, what came before and a Gumbel variable of mass 1
+        (the largest there is, then the step's own), reaches the worst of the best so far: no other step has a better branch.
         """
-        counts, logs, group = np.diff(paths.bounds), self.edges.log[paths.edge], np.arange(len(paths.texts))
-        total = _before(logs)
+        counts = np.diff(paths.bounds)
+        total = _before(paths.log)
         before = total[:-1] - np.repeat(total[paths.bounds[:-1]], counts)
-        at = paths.node - self.first[paths.word]
-        u, g = self._random(paths.word, at, turn, BRANCH), np.repeat(paths.g, counts)
-        rest = -np.expm1(logs)
-        small = rest < SMALL
-        most = _cut_gumbel(before + np.log(np.maximum(rest, SMALL)), g, u)
-        shut = (np.arange(len(most)) < np.repeat(since, counts)) | (self.start[paths.node + 1] - self.start[paths.node] == 1)
-        value = np.where(small | shut, -np.inf, most)
-        known, least = _largest(value, paths.bounds, want), np.full(len(group), np.inf)
-        of = np.searchsorted(paths.bounds, known, side="right") - 1
-        np.minimum.at(least, of, value[known])
-        least[np.bincount(of, minlength=len(group)) < want] = -np.inf
-        row = np.flatnonzero(small & ~shut & (most > np.repeat(least, counts)))
-        value[row] = _cut_gumbel(before[row] + self._rest(paths.node[row], paths.edge[row]), g[row], u[row])
-        best, of = np.concatenate([known, row]), np.concatenate([of, np.searchsorted(paths.bounds, row, side="right") - 1])
-        order = np.lexsort((-value[best], of))
-        best, of = best[order], of[order]
-        best = best[(np.arange(len(of)) - np.searchsorted(of, of) < want) & np.isfinite(value[best])]
-        text = paths.texts[np.searchsorted(paths.bounds, best, side="right") - 1]
-        used = np.int64(1) << (paths.edge - self.start[paths.node])[best]
-        return _Open(text, np.full(len(best), turn), best, before[best], used, value[best])
+        first = np.minimum(FIRST_STEPS, paths.bounds[1:] - since)
+        step = _ranges(since, first)
+        of = np.repeat(np.arange(len(counts)), first)
+        value = self._branches(paths, step, of, before[step], self._branch_random(paths, turn, step))
+        best = _largest(value, of, want)
+        least = np.full(len(counts), np.inf)
+        np.minimum.at(least, of[best], value[best])
+        least[np.bincount(of[best], minlength=len(counts)) < want] = -np.inf
+        more = before > np.repeat(least - MOST_G, counts)
+        more &= np.arange(len(before)) >= np.repeat(since + first, counts)
+        more = np.flatnonzero(more)
+        u, own = self._branch_random(paths, turn, more), np.searchsorted(paths.bounds, more, side="right") - 1
+        on = np.flatnonzero(before[more] - np.log(-np.log(u)) > least[own] - 1)  # the bound with the step's own Gumbel variable
+        if len(on):
+            more, own = more[on], own[on]
+            value = np.concatenate([value[best], self._branches(paths, more, own, before[more], u[on])])
+            step, of = np.concatenate([step[best], more]), np.concatenate([of[best], own])
+            best = _largest(value, of, want)
+        step = step[best]
+        used = np.int64(1) << (paths.edge[step] - self.start[paths.node[step]])
+        return _Open(paths.texts[of[best]], np.full(len(best), turn), step, before[step], used, value[best])
+
+    def _branch_random(self, paths: _Paths, turn: int, step: np.ndarray) -> np.ndarray:
+        word = paths.word[step]
+        return np.minimum(self._random(word, paths.node[step] - self.first[word], turn, BRANCH), MOST_U)
+
+    def _branches(self, paths: _Paths, step: np.ndarray, of: np.ndarray, before: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The largest perturbed value of the branches left out at these steps of the paths ``of``; -inf where there are none.
+
+        Where an edge leaves ``SMALL`` or more to the others, that is the difference to 1. Where it leaves less, the
+        difference would be rounding errors: the others are summed.
+        """
+        node, edge = paths.node[step], paths.edge[step]
+        rest = -np.expm1(paths.log[step])
+        log = np.log(np.maximum(rest, SMALL))
+        small = np.flatnonzero(rest < SMALL)
+        log[small] = self._rest(node[small], edge[small])
+        some = self.start[node + 1] - self.start[node] > 1
+        value = np.full(len(step), -np.inf)
+        value[some] = _cut_gumbel(before[some] + log[some], paths.g[of[some]], u[some])
+        return value
 
     def sampled(self, k: int) -> tuple[list[_Paths], np.ndarray]:
         """The segmentations, first to k-th, and the value of the best that is left of each text."""
         texts = np.flatnonzero(np.diff(self.bounds))
         every = np.arange(len(self.which))
-        word, node, edge = self.steps(every, np.zeros(len(every), dtype=np.int64), 0)
+        node, edge, begin = self.steps(every, np.zeros(len(every), dtype=np.int64), 0)
         g = -np.log(-np.log(self._of_texts(texts, 0, ROOT)))
-        bounds = np.searchsorted(self.text[word], np.append(texts, self.n_texts)) if len(texts) else np.zeros(1, dtype=np.int64)
-        paths = [_Paths(texts, bounds, word, node, edge, g)]
+        bounds = begin[self.bounds[np.append(texts, self.n_texts)]]
+        paths = [_Paths(texts, bounds, np.repeat(every, np.diff(begin)), node, edge, g, self.edges.log[edge])]
         kappa = np.full(self.n_texts, -np.inf)
         if not len(texts):
             return paths, kappa
@@ -537,9 +621,10 @@ class _Walk:
         counts = self.bounds[now.text + 1] - begin
         tail, tail_at = _ranges(begin, counts), np.zeros(int(counts.sum()), dtype=np.int64)
         tail_at[_before(counts)[:-1][inside]] = at[inside]
-        new = self.steps(tail, tail_at, turn)
+        *new, tail_begin = self.steps(tail, tail_at, turn)
+        new.insert(0, np.repeat(tail, np.diff(tail_begin)))
         kept = now.step - head + 1
-        added = np.bincount(np.searchsorted(now.text, self.text[new[0]]), minlength=n)
+        added = np.diff(tail_begin[_before(counts)])
         bounds = _before(kept + added)
         made = [np.empty(bounds[-1], dtype=np.int64) for _ in range(3)]
         old_place, new_place = _ranges(bounds[:-1], kept), _ranges(bounds[:-1] + kept, added)
@@ -551,7 +636,7 @@ class _Walk:
         made[2][bounds[:-1] + kept - 1] = chosen
         for to, x in zip(made, new):
             to[new_place] = x
-        return _Paths(now.text, bounds, *made, now.g), bounds[:-1] + kept, again
+        return _Paths(now.text, bounds, *made, now.g, edges.log[made[2]]), bounds[:-1] + kept, again
 
     def ids(self, paths: _Paths) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the paths, one after the other, and where each begins; bytes are written out."""
@@ -564,13 +649,14 @@ class _Walk:
         width[byte] = _utf8_size(c)
         after = _before(width)
         out = np.repeat(ids, width)
-        for a, x in zip(after[byte].tolist(), c.tolist()):
-            own = self.lattice.byte_ids[list(chr(x).encode("utf-8", "surrogatepass"))]
-            out[a:a + len(own)] = own
+        chars, which = np.unique(c, return_inverse=True)
+        utf8 = np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        size = width[byte]
+        out[_ranges(after[byte], size)] = self.lattice.byte_ids[utf8[_ranges(_before(_utf8_size(chars))[which], size)]]
         return out, after[paths.bounds]
 
     def log_probs(self, paths: _Paths) -> np.ndarray:
-        return np.add.reduceat(self.edges.log[paths.edge], paths.bounds[:-1]) if len(paths.texts) else np.zeros(0)
+        return np.add.reduceat(paths.log, paths.bounds[:-1]) if len(paths.texts) else np.zeros(0)
 
 
 def inclusion(log_prob: np.ndarray, kappa: np.ndarray) -> np.ndarray:
@@ -616,7 +702,7 @@ def _lists(bounds: np.ndarray, values) -> pa.ListArray:
 def _row_batch(doc_id: pa.Array, texts: list[str], lattice: Lattice, k: int) -> pa.RecordBatch:
     walk = _Walk(lattice, texts, doc_id.fill_null(NO_ID).to_numpy())
     encoded = walk.encoded(texts)
-    decoded = lattice.sp.decode([x.tolist() for x in encoded], num_threads=1)
+    decoded = lattice.sp.decode(encoded, num_threads=1)
     ids, bounds = np.concatenate(encoded), _before(np.array([len(x) for x in encoded], dtype=np.int64))
 
     paths, kappa = walk.sampled(k)

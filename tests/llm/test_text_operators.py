@@ -3,6 +3,7 @@
 import itertools
 import math
 import os
+import random
 import re
 import subprocess
 import sys
@@ -242,6 +243,42 @@ def test_samples_do_not_depend_on_neighbours():
     assert min(first) > -5, "seed 0 is a seed as any other"
 
 
+def test_branches_far_from_the_best_are_not_made(monkeypatch):
+    """The best branches are those of all steps, though only steps that can have one are worked on."""
+    lattice, r, made, cut = pieces.lattice_of(SP), random.Random(3), [], pieces._cut_gumbel
+    long = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(1, 12))) for _ in range(4000))
+    texts = [long, "", "a", "zq", "the cat", "a a a a a a a a", "of " * 300, long[:500], long[:3000]]
+    monkeypatch.setattr(pieces, "_cut_gumbel", lambda mass, *rest: made.append(len(mass)) or cut(mass, *rest))
+    found = pieces.sample_segmentations(lattice, texts, np.arange(len(texts)), 3)
+    assert sum(made) < sum(len(ids) for x in found for ids, _, _ in x) / 4
+    for seed in range(40):
+        walk = pieces._Walk(lattice, texts, np.arange(len(texts)) + seed)
+        (paths, *_), _ = walk.sampled(1)
+        every, counts = np.arange(len(paths.edge)), np.diff(paths.bounds)
+        of, total = np.repeat(np.arange(len(counts)), counts), np.cumsum(paths.log)
+        before = total - paths.log - np.repeat((total - paths.log)[paths.bounds[:-1]], counts)
+        value = walk._branches(paths, every, of, before, walk._branch_random(paths, 0, every))
+        for want in (1, 2, 5):
+            best, got = pieces._largest(value, of, want), walk.left_open(paths, 0, paths.bounds[:-1], want)
+            assert got.step.tolist() == best.tolist() and got.g == pytest.approx(value[best], abs=1e-9)
+
+
+def test_words_met_again_stay(monkeypatch):
+    """Lattices of words that come again and again are made once, and what is dropped changes no sample."""
+    lattice, built, r = pieces.Lattice(SP), Counter(), random.Random(4)
+    lattice.nodes, edges = pieces._Nodes(2000), lattice.edges
+    monkeypatch.setattr(lattice, "edges", lambda codes, starts, sizes: built.update(
+        "".join(map(chr, codes[a:a + n])) for a, n in zip(starts.tolist(), sizes.tolist())) or edges(codes, starts, sizes))
+    often = ["the", "hello", "wörld", "tokenization"]
+    for i in range(60):
+        fresh = ["".join(r.choice("etaoinshrdlu") for _ in range(8)) for _ in range(40)]
+        texts = [" ".join(often + fresh[:20]), " ".join(fresh[20:] + often)]
+        a, b = (pieces.sample_segmentations(x, texts, np.array([i, -i]), 3) for x in (lattice, pieces.lattice_of(SP)))
+        assert [[(ids.tolist(), log, score) for ids, log, score in x] for x in a] == [[(ids.tolist(), log, score) for ids, log, score in x] for x in b]
+        assert lattice.nodes.used <= 2000
+    assert sum(built.values()) > 60 * 40 and [built[w] for w in often] == [1] * len(often)
+
+
 def test_pieces(spark, odd, none):
     rows = table(spark, SMALL, "documents").limit(40).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     texts = [(r.doc_id, r.text or "") for r in rows.collect()]
